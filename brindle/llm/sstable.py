@@ -17,6 +17,7 @@ import os
 import re
 import struct
 import zlib
+from collections import deque
 from collections.abc import Iterator
 from functools import cache
 
@@ -33,8 +34,8 @@ from brindle.llm.common import shared_dir, written
 MAGIC = b"BRINDSST"
 FOOTER = struct.Struct("<QQQQQQII8s")
 BLOCK_BYTES, SHARD_BYTES, BITS_PER_KEY, HASHES = 1 << 16, 1 << 26, 10, 7
-#: Distinct words whose ids a worker keeps before it starts anew.
-MEMO = 400_000
+#: Distinct words whose ids a worker keeps; beyond that it goes back to those of its last batches.
+MEMO = 800_000
 MANIFEST = "part int, seq int, path string, first_key binary, last_key binary, docs long, ids long"
 
 
@@ -197,7 +198,7 @@ class WordEncoder:
     which white space meets white space are encoded whole.
     """
 
-    APART = re.compile(r"\s\s")
+    APART, ENDS = re.compile(r"\s\s"), (".", ",")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -207,6 +208,7 @@ class WordEncoder:
         self.tokenizer.encode_special_tokens = True
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.memo: dict[str, bytes] = {}
+        self.recent: deque[set[str]] = deque(maxlen=3)
         self.batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
 
     def _packed(self, ids: list[int]) -> bytes:
@@ -214,24 +216,39 @@ class WordEncoder:
 
     @staticmethod
     def _words(text: str) -> list[str]:
+        if "\0" in text:
+            return [text]
         first, *lines = text.split("\n")
-        words = first.replace(" ", "\0 ").split("\0") if "\0" not in text else [text]
-        for line in lines if "\0" not in text else ():
+        words = first.replace(" ", "\0 ").split("\0")
+        for line in lines:
             words.append("\n")
             words += line.replace(" ", "\0 ").split("\0")
         return words
 
+    def _look_up(self, words: list[str]) -> None:
+        for at in range(0, len(words), 10_000):
+            part = words[at : at + 10_000]
+            for word, found in zip(part, self.batch(part, add_special_tokens=False), strict=True):
+                self.memo[word] = self._packed(found.ids)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [[text] if self.APART.search(text) else self._words(text) for text in texts]
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        memo, long = self.memo, {}
-        missing = list({w for words in split for w in words if w not in memo})
-        for at in range(0, len(missing), 10_000):
-            part = missing[at : at + 10_000]
-            for word, found in zip(part, self.batch(part, add_special_tokens=False), strict=True):
-                (memo if len(word) <= 64 else long)[word] = self._packed(found.ids)
-        return [b"".join([memo[w] if w in memo else long[w] for w in words]) for words in split]
+        memo, own = self.memo, set().union(*split)
+        missing = own.difference(memo)
+        # a full stop or comma after a letter is a token of its own
+        ended = {w for w in missing if w[-1:] in self.ENDS and len(w) > 2 and w[-2] < "\u0250" and w[-2].isalpha()}
+        stems = {w[:-1] for w in ended}.difference(memo)
+        self._look_up(list((missing - ended) | stems | {e for e in self.ENDS if e not in memo}))
+        for word in ended:
+            memo[word] = memo[word[:-1]] + memo[word[-1]]
+        out = [b"".join(map(memo.__getitem__, words)) for words in split]
+        for word in missing:
+            if len(word) > 64:
+                del memo[word]
+        self.recent.append({w for w in own if len(w) <= 64})
+        if len(memo) > MEMO:  # what the last batches had stays
+            self.memo = {w: memo[w] for batch in self.recent for w in batch}
+        return out
 
 
 @cache
