@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,3 +69,31 @@ def over_batches(df: DataFrame, per_batch: Callable[[pa.RecordBatch], pa.RecordB
                 yield per_batch(batch)
 
     return df.mapInArrow(run, schema)
+
+
+#: White space beside white space: where it occurs, a text isn't cut into words.
+APART = re.compile(r"\s\s")
+
+
+def by_words(texts: list[str], ids_of: Callable[[list[str]], list[bytes]]) -> list[bytes]:
+    """The packed ids of each text; ids_of gets distinct pieces of texts and returns theirs.
+
+    GPT-2's pattern never joins what stands before a single space or line feed with what follows it, if neither
+    neighbour is white space. So a text is cut into words, each with the space before it, and the ids of its words,
+    one after the other, are the text's. Texts in which white space meets white space are one piece. Cutting,
+    telling words apart and putting ids together are Arrow's, a word each.
+    """
+    whole = [i for i, t in enumerate(texts) if "\0" in t or APART.search(t)]
+    skip = set(whole)
+    cut = pa.array([t for i, t in enumerate(texts) if i not in skip], pa.large_string())
+    cut = pc.replace_substring(pc.replace_substring(cut, " ", "\0 "), "\n", "\0\n\0")
+    words = pc.split_pattern(cut, "\0")
+    # (an offset into the list array, which may be a slice, is taken off)
+    places = words.offsets.to_numpy()
+    flat = words.values.slice(places[0], places[-1] - places[0]).dictionary_encode() if len(words) else pa.array([], pa.large_string()).dictionary_encode()
+    ids = pa.array(ids_of(flat.dictionary.to_pylist()), pa.large_binary()).take(flat.indices)
+    ends = np.frombuffer(ids.buffers()[1], np.int64)[ids.offset : ids.offset + len(ids) + 1] if len(ids) else np.zeros(1, np.int64)
+    data = memoryview(ids.buffers()[2]) if len(ids) and ids.buffers()[2] else memoryview(b"")
+    found = iter([bytes(data[ends[a] : ends[b]]) for a, b in pairwise((places - places[0]).tolist())])
+    by_whole = dict(zip(whole, ids_of([texts[i] for i in whole]), strict=True))
+    return [by_whole[i] if i in skip else next(found) for i in range(len(texts))]

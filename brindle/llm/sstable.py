@@ -14,10 +14,9 @@ from __future__ import annotations
 
 import bisect
 import os
-import re
 import struct
 import zlib
-from collections import deque
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -29,13 +28,13 @@ from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.common import shared_dir, written
+from brindle.llm.common import by_words, shared_dir, written
 
 MAGIC = b"BRINDSST"
 FOOTER = struct.Struct("<QQQQQQII8s")
 BLOCK_BYTES, SHARD_BYTES, BITS_PER_KEY, HASHES = 1 << 16, 1 << 26, 10, 7
-#: Distinct words whose ids a worker keeps; beyond that it goes back to those of its last batches.
-MEMO = 800_000
+#: Distinct words whose ids a worker keeps; beyond that it goes back to those of its last batch. Documents encoded at a time.
+MEMO, BATCH = 800_000, 2000
 MANIFEST = "part int, seq int, path string, first_key binary, last_key binary, docs long, ids long"
 
 
@@ -191,14 +190,10 @@ class Shard:
 
 
 class WordEncoder:
-    """Encodes with a byte-level Tokenizer of the tokenizers library; words met before are looked up.
+    """Encodes with a byte-level Tokenizer of the tokenizers library, word by word as by_words() cuts texts; words met
+    before are looked up."""
 
-    The tokenizer's pattern never joins what stands before a single space or line feed with what follows it, if
-    neither neighbour is white space; so such texts are encoded word by word, each with its space. Texts in
-    which white space meets white space are encoded whole.
-    """
-
-    APART, ENDS = re.compile(r"\s\s"), (".", ",")
+    ENDS = (".", ",")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -207,49 +202,53 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.model = self.tokenizer.model
+        self.kind = "H" if self.width == 2 else "I"
+        # byte-level vocabularies: bytes that print stand for themselves, the others for characters from 256 on
+        prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = [b for b in range(256) if b not in prints]
+        self.visible = {b: 256 + i for i, b in enumerate(others)}
         self.memo: dict[str, bytes] = {}
-        self.recent: deque[set[str]] = deque(maxlen=3)
         self.batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
 
     def _packed(self, ids: list[int]) -> bytes:
         return np.array(ids, f"<u{self.width}").tobytes()
 
-    @staticmethod
-    def _words(text: str) -> list[str]:
-        if "\0" in text:
-            return [text]
-        first, *lines = text.split("\n")
-        words = first.replace(" ", "\0 ").split("\0")
-        for line in lines:
-            words.append("\n")
-            words += line.replace(" ", "\0 ").split("\0")
-        return words
-
     def _look_up(self, words: list[str]) -> None:
-        for at in range(0, len(words), 10_000):
-            part = words[at : at + 10_000]
+        """A word of letters, behind a space or not, is one match of the pattern and goes to the model alone, its bytes
+        as the characters that stand for them; all else takes the tokenizer's whole way."""
+        memo, one, rest = self.memo, self.model.tokenize, []
+        for word in words:
+            if word[word[:1] == " " :].isalpha() and max(word) < "\u0250":
+                text = word.encode().decode("latin-1").translate(self.visible)
+                memo[word] = array(self.kind, [t.id for t in one(text)]).tobytes()
+            else:
+                rest.append(word)
+        for at in range(0, len(rest), 10_000):
+            part = rest[at : at + 10_000]
             for word, found in zip(part, self.batch(part, add_special_tokens=False), strict=True):
-                self.memo[word] = self._packed(found.ids)
+                memo[word] = self._packed(found.ids)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [[text] if self.APART.search(text) else self._words(text) for text in texts]
-        memo, own = self.memo, set().union(*split)
-        missing = own.difference(memo)
+    def _ids(self, words: list[str]) -> list[bytes]:
+        memo = self.memo
+        missing = {w for w in words if w not in memo}
         # a full stop or comma after a letter is a token of its own
         ended = {w for w in missing if w[-1:] in self.ENDS and len(w) > 2 and w[-2] < "\u0250" and w[-2].isalpha()}
         stems = {w[:-1] for w in ended}.difference(memo)
         self._look_up(list((missing - ended) | stems | {e for e in self.ENDS if e not in memo}))
         for word in ended:
             memo[word] = memo[word[:-1]] + memo[word[-1]]
-        out = [b"".join(map(memo.__getitem__, words)) for words in split]
+        out = list(map(memo.__getitem__, words))
         for word in missing:
             if len(word) > 64:
                 del memo[word]
-        self.recent.append({w for w in own if len(w) <= 64})
-        if len(memo) > MEMO:  # what the last batches had stays
-            self.memo = {w: memo[w] for batch in self.recent for w in batch}
+        if len(memo) > MEMO:  # what this batch had stays
+            self.memo = {w: i for w, i in zip(words, out, strict=True) if len(w) <= 64}
         return out
 
+    def encode(self, texts: list[str]) -> list[bytes]:
+        return by_words(texts, self._ids)
+
 
 @cache
 def encoder(path: str) -> WordEncoder:
@@ -274,8 +273,8 @@ def write_tokens(docs: DataFrame, uri: str, tokenizer_file: str, end_id: int, id
             rows.append((part, seq, f"{uri}/shard-{part:06d}-{seq:04d}.sst", shard.first, shard.last, shard.docs, shard.ids))
 
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
+            for at in range(0, whole.num_rows, BATCH):
+                batch = whole.slice(at, BATCH)
                 texts = [t or "" for t in batch.column(1).to_pylist()]
                 for doc_id, ids in zip(batch.column(0).to_pylist(), words.encode(texts), strict=True):
                     key = identifier_key(doc_id)
