@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import bpe, exact_dedup, media, mixing, pii, simhash, sstable
+from brindle.llm import bpe, exact_dedup, line_dedup, media, mixing, pii, simhash, sstable
 from brindle.llm.common import documents
 
 #: Stands for a key from a store of secrets: pseudonyms of these queries only have to be the same in each run.
@@ -26,6 +26,10 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(documents(spark, sf_dir).select("doc_id", "text"), PII_KEY)
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, ids=False)
 
@@ -45,6 +49,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_pii": op2_pii,
+    "op3_line_dedup": op3_line_dedup,
     "op4_bpe": op4_bpe,
     "op5_simhash": op5_simhash,
     "op6_media": op6_media,
