@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import bpe, exact_dedup, line_dedup, media, mixing, pii, simhash, sstable
+from brindle.llm import bpe, exact_dedup, line_dedup, media, mixing, pii, quality, simhash, sstable, toxicity
 from brindle.llm.common import documents
 
 #: Stands for a key from a store of secrets: pseudonyms of these queries only have to be the same in each run.
@@ -38,6 +38,16 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(media.stored(documents(spark, sf_dir)))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity.score(docs, toxicity.fit(docs, documents(spark, sf_dir, "labels")))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return quality.score(docs, quality.fit(docs, documents(spark, sf_dir, "labels")))
+
+
 def op9_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.token_table(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), 2)
 
@@ -53,6 +63,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bpe": op4_bpe,
     "op5_simhash": op5_simhash,
     "op6_media": op6_media,
+    "op7_toxicity": op7_toxicity,
+    "op8_quality": op8_quality,
     "op9_sstable": op9_sstable,
     "op10_exact_dedup": op10_exact_dedup,
 }
