@@ -22,10 +22,12 @@ from brindle.llm.quality import labelled_sample, part_of
 
 #: The most labelled documents learned from, in expectation, and the most features kept: parameters, not growing with data.
 SAMPLE, FEATURES = 20_000, 4000
-#: Weight of the ridge and of the counterfactual penalty; steps of training.
-RIDGE, COUNTERFACTUAL, STEPS = 1e-4, 1.0, 300
+#: Least evidence (log-likelihood ratio) for a feature to be kept.
+EVIDENCE = 6.0
+#: Weight of the ridge, of the counterfactual penalty and of a toxic document (which are few); steps of training.
+RIDGE, COUNTERFACTUAL, TOXIC, STEPS = 1e-4, 1.0, 2.0, 300
 #: Lengths of the beginnings of words that count besides whole words: stems, whatever ending follows.
-STEMS = (4, 5, 6)
+STEMS = (3, 4, 5, 6)
 
 #: Identity terms by kind, in the four languages: a term is swapped for the next of its kind and language.
 IDENTITIES = (
@@ -100,13 +102,16 @@ def train(rows: list[list[int]], y: np.ndarray, pairs: list[tuple[list[int], lis
     diff = [(sorted(set(a) - set(b)), sorted(set(b) - set(a))) for a, b in pairs]
     d = _Rows([[*a, *b] for a, b in diff], [[1.0] * len(a) + [-1.0] * len(b) for a, b in diff], len(names))
     w, b = np.zeros(len(names)), float(np.log(y.mean() / (1 - y.mean())))
+    share = np.where(y > 0, TOXIC, 1.0)
+    share /= share.sum()
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, STEPS + 1):
         p = 1 / (1 + np.exp(-np.clip(x.times(w) + b, -35, 35)))
-        g = x.back(p - y) / x.n + RIDGE * w
+        off = (p - y) * share
+        g = x.back(off) + RIDGE * w
         if d.n:
             g += counterfactual * d.back(d.times(w)) / d.n
-        gb = float((p - y).mean())
+        gb = float(off.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         w = w - 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -146,7 +151,7 @@ def _vocabulary(sample: DataFrame, most: int) -> list[str]:
     gain = term(F.col("toxic"), all_of * rate1) + term(F.col("clean"), all_of * rate0)
     rest = F.lit(n0 + n1) - all_of
     gain = gain + term(F.lit(n1) - F.col("toxic"), rest * rate1) + term(F.lit(n0) - F.col("clean"), rest * rate0)
-    best = counted.filter((all_of >= 3) & (rest > 0)).select("token", F.round(gain, 9).alias("gain")).orderBy(F.desc("gain"), "token").limit(most)
+    best = counted.filter((all_of >= 3) & (rest > 0)).select("token", F.round(gain, 9).alias("gain")).filter(F.col("gain") >= EVIDENCE).orderBy(F.desc("gain"), "token").limit(most)
     return sorted({r["token"] for r in best.collect()} | set(SWAP))
 
 
