@@ -172,19 +172,19 @@ def _keyset(spark: SparkSession, sf_dir: str, sort: str, size: int, backward: bo
 _MIXED = f"SELECT c_custkey, bal, tier FROM {CUSTOMER} ORDER BY tier ASC NULLS LAST, bal DESC NULLS FIRST, c_custkey"
 
 
-@_registered(f"SELECT c_custkey, bal, tier FROM {CUSTOMER} ORDER BY bal DESC NULLS FIRST, c_custkey LIMIT 150 OFFSET 150")
+@_registered(f"SELECT c_custkey, bal, tier FROM {CUSTOMER} ORDER BY bal DESC NULLS FIRST, c_custkey LIMIT 60 OFFSET 60")
 def keyset_next(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _keyset(spark, sf_dir, "bal:desc", 150, False)
+    return _keyset(spark, sf_dir, "bal:desc", 60, False)
 
 
-@_registered(f"{_MIXED} LIMIT 150 OFFSET 150")
+@_registered(f"{_MIXED} LIMIT 60 OFFSET 60")
 def keyset_mixed_dir_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _keyset(spark, sf_dir, "tier:asc,bal:desc", 150, False)
+    return _keyset(spark, sf_dir, "tier:asc,bal:desc", 60, False)
 
 
-@_registered(f"{_MIXED} LIMIT 150")
+@_registered(f"{_MIXED} LIMIT 60")
 def keyset_before(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _keyset(spark, sf_dir, "tier:asc,bal:desc", 150, True)
+    return _keyset(spark, sf_dir, "tier:asc,bal:desc", 60, True)
 
 
 @_registered("SELECT count(*) AS total FROM orders WHERE o_orderstatus = 'F'")
