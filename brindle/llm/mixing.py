@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from brindle.llm.common import WORD, written
 
 BLOCK, SHARD, SEED, LIMIT = 128, 1024, 20_240_229, 3
+#: Slots that a task maps through the permutations.
+TASK = 50_000
 #: Rounds of the Feistel permutation of block numbers, and the most steps of its walk.
 ROUNDS, STEPS = 4, 40
 
@@ -121,7 +123,9 @@ def slots(shares: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int =
     counts = given.unionByName(drawn).groupBy("number", "shard").agg(F.sum("count").alias("count"), F.first("blocks").alias("blocks"))
     before = Window.partitionBy("number").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     numbered = counts.withColumn("first", F.coalesce(F.sum("count").over(before), F.lit(0)))
-    taken = numbered.withColumn("slot", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("count") - 1)))
+    # slots are few bytes each but take a walk each: they are dealt out by their number, not by their size
+    spread = numbered.repartition(max(1, -(-n // TASK)), "number", "shard")
+    taken = spread.withColumn("slot", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("count") - 1)))
     taken = taken.filter(F.col("slot") < F.col("blocks") * F.lit(limit))  # so that no document is taken more than limit times
     taken = taken.withColumn("pass", F.floor(F.col("slot") / F.col("blocks")).cast("long")).withColumn("index", F.pmod("slot", "blocks"))
     return taken.select("shard", "number", permuted(F.col("index"), F.col("blocks"), F.lit(seed), F.col("number"), F.col("pass")).alias("block"))
@@ -154,7 +158,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Rows that repeat an id go by the mean of what is taken of them.
     """
     mix = mixture(docs, id_col, text_col, source_col, seed=seed, **options).filter("taken > 0")
-    share = mix.groupBy(F.col(id_col).alias("_id")).agg((F.sum("taken") / F.sum("size")).alias("_share"))
-    copies = F.floor(F.col("_share") + _unit(F.lit(seed), F.lit("copies"), F.col("_id"))).cast("int")
-    joined = docs.join(share.select("_id", copies.alias("_copies")).filter("_copies > 0"), docs[id_col].eqNullSafe(F.col("_id")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*(docs[c] for c in docs.columns))
+    share = mix.groupBy(F.col(id_col).alias("_brindle_id")).agg((F.sum("taken") / F.sum("size")).alias("_brindle_share"))
+    copies = F.floor(F.col("_brindle_share") + _unit(F.lit(seed), F.lit("copies"), F.col("_brindle_id"))).cast("int")
+    joined = docs.join(share.select("_brindle_id", copies.alias("_brindle_copies")).filter("_brindle_copies > 0"), docs[id_col].eqNullSafe(F.col("_brindle_id")))
+    return joined.withColumn("_brindle_copy", F.explode(F.sequence(F.lit(1), F.col("_brindle_copies")))).select(*(docs[c] for c in docs.columns))

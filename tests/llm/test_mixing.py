@@ -65,7 +65,9 @@ def test_permutation(spark, n):
     assert sorted(r["x"] for r in df.collect()) == list(range(n))
 
 
-def test_mixed_documents(docs, corpus):
+@pytest.mark.parametrize("frame", ["docs", "clashing"])
+def test_mixed_documents(frame, corpus, request):
+    docs = request.getfixturevalue(frame)
     out = mixed_documents(docs)
     assert out.columns == docs.columns
     copies = Counter(r["doc_id"] for r in out.collect())
