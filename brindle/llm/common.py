@@ -6,7 +6,7 @@ import gc
 import re
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from itertools import pairwise
 
 import numpy as np
@@ -48,7 +48,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     del df
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables made by written() that no plan will read any more."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path.getParent(), True)
 
 
 def salted(key_side: DataFrame, salts: int) -> DataFrame:
@@ -60,17 +70,6 @@ def salt_of(column: Column, salts: int) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(salts)).cast("int")
 
 
-def over_batches(df: DataFrame, per_batch: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """mapInArrow with a function of one batch."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield per_batch(batch)
-
-    return df.mapInArrow(run, schema)
-
-
 #: White space beside white space: where it occurs, a text isn't cut into words.
 APART = re.compile(r"\s\s")
 

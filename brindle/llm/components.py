@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import written
+from brindle.llm.common import forget, written
 
 def components(edges: DataFrame) -> DataFrame:
     """node, root (smallest node reachable) for each node that an edge (a, b) touches and that isn't its own root.
@@ -28,7 +29,7 @@ def components(edges: DataFrame) -> DataFrame:
             if jumped.filter("moved").isEmpty():
                 break
         if roots is None:
-            roots = hooks
+            roots = written(hooks, "roots")
         else:
             moved = hooks.select(F.col("node").alias("root"), F.col("root").alias("above"))
             roots = written(roots.join(moved, "root", "left").select("node", F.coalesce("above", "root").alias("root")).unionByName(hooks), "roots")
@@ -36,7 +37,7 @@ def components(edges: DataFrame) -> DataFrame:
             to = hooks.select(F.col("node").alias(side), F.col("root").alias("to"))
             left = left.join(to, side, "left").select(F.coalesce("to", side).alias(side), *(c for c in ("low", "high") if c != side))
         left = written(left.filter("low <> high").select(F.least("low", "high").alias("low"), F.greatest("low", "high").alias("high")).distinct(), "edges")
-    return roots if roots is not None else left.select(F.col("low").alias("node"), F.col("high").alias("root"))
+    return roots if roots is not None else written(left.select(F.col("low").alias("node"), F.col("high").alias("root")), "roots")
 
 
 def covering(positions: int, least: int, width: int) -> list[tuple[int, ...]]:
@@ -77,22 +78,10 @@ def distance(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def postings(rows: DataFrame, fp: str, n: int, positions: int, most: int, bits: int) -> DataFrame:
-    """A row for each posting list that a fingerprint of rows stands in: a set of positions and the parts there.
-
-    Fingerprints that differ in at most `most` bits share at least positions - most parts, hence a posting list of
-    every covering family of sets. Lists of one fingerprint are left out.
-    """
-    least = positions - most
-    sets = covering(positions, least, width_for(n, positions, least, bits))
+def postings(rows: DataFrame, fp: str, at: tuple[int, ...], bits: int) -> DataFrame:
+    """rows with parts, the posting list of a set of positions that each fingerprint stands in: its parts there."""
     part = (1 << bits) - 1
-
-    def key(which: int, at: tuple[int, ...]) -> Column:
-        masked = F.col(fp).bitwiseAND(F.lit(_signed(sum(part << (i * bits) for i in at))))
-        return F.struct(F.lit(which).alias("set"), masked.alias("parts"))
-
-    keyed = rows.withColumn("key", F.explode(F.array(*(key(i, at) for i, at in enumerate(sets)))))
-    return keyed.select(*rows.columns, F.col("key.set").alias("set"), F.col("key.parts").alias("parts"))
+    return rows.withColumn("parts", F.col(fp).bitwiseAND(F.lit(_signed(sum(part << (i * bits) for i in at)))))
 
 
 def _signed(x: int) -> int:
@@ -111,10 +100,14 @@ def linked(nodes: DataFrame, near, extra: list[str], positions: int = 8, most: i
     components; a large group of near copies has become one component by then.
     """
     columns = ["node", "fp", *extra]
-    n = nodes.count()
-    met = postings(nodes.select(*columns), "fp", n, positions, most, bits)
-    counts = met.groupBy("set", "parts").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("hub")).filter("size > 1").drop("size")
-    met = written(met.join(counts, ["set", "parts"]), "postings")
+    n, least = nodes.count(), positions - most
+    shared = []
+    for number, at in enumerate(covering(positions, least, width_for(n, positions, least, bits))):
+        # one set of positions at a time: what is on disk at once doesn't grow with their number
+        lists = postings(nodes.select(*columns), "fp", at, bits)
+        counts = lists.groupBy("parts").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("hub")).filter("size > 1").drop("size")
+        shared.append(written(lists.join(counts, "parts").withColumn("set", F.lit(number)), "postings"))
+    met = reduce(DataFrame.unionByName, shared)
     hubs = met.filter("node = hub").select("set", "parts", *(F.col(c).alias(f"b_{c}") for c in columns))
 
     def candidates(pairs: DataFrame) -> DataFrame:
@@ -134,4 +127,6 @@ def linked(nodes: DataFrame, near, extra: list[str], positions: int = 8, most: i
     across = left.alias("l").join(right.alias("r"), (F.col("l.set") == F.col("r.set")) & (F.col("l.parts") == F.col("r.parts")) & close).drop("set", "parts").distinct()
     second = components(near(across).select(F.col("a_root").alias("a"), F.col("b_root").alias("b")))
     up = second.select(F.col("node").alias("root"), F.col("root").alias("above"))
-    return first.join(up, "root", "left").select("node", F.coalesce("above", "root").alias("root")).unionByName(second.join(first.select("node"), "node", "left_anti"))
+    out = written(first.join(up, "root", "left").select("node", F.coalesce("above", "root").alias("root")).unionByName(second.join(first.select("node"), "node", "left_anti")), "linked")
+    forget(*shared, rest, first, second)
+    return out
