@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from brindle.llm.common import WORD, written
 
-BLOCK, SHARD, SEED, LIMIT = 128, 1024, 20_240_229, 3
+BLOCK, SHARD, SEED, LIMIT = 32, 1024, 20_240_229, 3
 #: Slots that a task maps through the permutations.
 TASK = 50_000
 #: Rounds of the Feistel permutation of block numbers, and the most steps of its walk.
