@@ -17,7 +17,19 @@ from brindle.sources.catalog import Catalog, Field, Module, Relation
 BIG = lambda name: Field(name, "biginteger", nullable=False)
 
 
+_CATALOGS: dict[tuple[str, str], Catalog] = {}
+
+
 def engine(spark: SparkSession, sf_dir: str) -> Engine:
+    """An engine of its own over the tables of a folder, which are looked up once per session."""
+    key = f"{spark.sparkContext.applicationId} {id(spark)}", sf_dir
+    if key not in _CATALOGS:
+        _CATALOGS[key] = _catalog(spark, sf_dir)
+    base = _CATALOGS[key]
+    return Engine(Catalog(dict(base.modules), dict(base.rows), dict(base.links), dict(base.versions)), "a secret for synthetic data")
+
+
+def _catalog(spark: SparkSession, sf_dir: str) -> Catalog:
     """The driver's tables as modules. They have no nulls, booleans or decimals: some columns are derived."""
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
     catalog = Catalog()
@@ -48,7 +60,7 @@ def engine(spark: SparkSession, sf_dir: str) -> Engine:
     variants = documents.withColumns({"document_id": F.expr("CAST(doc_id DIV 4 AS INT)"), "locale": F.col("lang")})
     put("pages_i18n", BIG("doc_id"), [Field("source"), BIG("n_chars")], variants, i18n=True)
     put("labels", BIG("doc_id"), [Field("quality", "integer"), Field("toxic", "integer")], read("labels"), (Relation("document", "documents", "oneToOne", inverse="label", column="doc_id"),))
-    return Engine(catalog, "a secret for synthetic data")
+    return catalog
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
