@@ -36,18 +36,20 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{conf.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, release: bool = False) -> DataFrame:
     """The rows as a table in the shared folder: the lineage ends there and any executor may be lost.
 
-    The collections afterwards let Spark drop shuffle files that nothing refers to any more.
+    release, after a large shuffle, collects garbage on the driver, so that Spark drops shuffle files that nothing
+    refers to any more instead of keeping them until it happens to.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}"
     df.write.parquet(path)
     schema = df.schema
     del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    if release:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     out = spark.read.schema(schema).parquet(path)
     out.path = path
     return out
@@ -70,6 +72,25 @@ def salt_of(column: Column, salts: int) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(salts)).cast("int")
 
 
+#: Most bits of the bitmap of sifted(): a broadcast of at most 2^20 rows of two numbers, whatever the data's size.
+SIFT_BITS = 26
+
+
+def sifted(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows whose key (a number) is in the column of that name of wanted, a written table, and some others.
+
+    Keys are hashed into a bitmap of bounded size, 64 bits a row, which is broadcast, so that most rows that the join
+    to come would lose aren't shuffled for it. With more keys than bits it lets more through, and the join decides.
+    """
+    n = wanted.count()
+    bits = 1 << min(SIFT_BITS, max(16, (16 * n).bit_length()))
+    place = lambda c: F.pmod(F.xxhash64(F.lit(11), c), F.lit(bits))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("_place", F.lit(64)).cast("int"))
+    bitmap = wanted.select(place(F.col(key)).alias("_place")).groupBy(F.shiftright("_place", 6).alias("_word")).agg(F.bit_or(one).alias("_bits"))
+    met = rows.withColumn("_place", place(F.col(key))).join(F.broadcast(bitmap), F.shiftright("_place", 6) == F.col("_word"))
+    return met.filter(F.col("_bits").bitwiseAND(one) != 0).select(*rows.columns)
+
+
 #: White space beside white space: where it occurs, a text isn't cut into words.
 APART = re.compile(r"\s\s")
 

@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import forget, written
+from brindle.llm.common import forget, sifted, written
 
 def components(edges: DataFrame) -> DataFrame:
     """node, root (smallest node reachable) for each node that an edge (a, b) touches and that isn't its own root.
@@ -105,8 +105,9 @@ def linked(nodes: DataFrame, near, extra: list[str], positions: int = 8, most: i
     for number, at in enumerate(covering(positions, least, width_for(n, positions, least, bits))):
         # one set of positions at a time: what is on disk at once doesn't grow with their number
         lists = postings(nodes.select(*columns), "fp", at, bits)
-        counts = lists.groupBy("parts").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("hub")).filter("size > 1").drop("size")
-        shared.append(written(lists.join(counts, "parts").withColumn("set", F.lit(number)), "postings"))
+        counts = written(lists.groupBy("parts").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("hub")).filter("size > 1").drop("size"), "counts")
+        shared.append(written(sifted(lists, "parts", counts).join(counts, "parts").withColumn("set", F.lit(number)), "postings"))
+        forget(counts)
     met = reduce(DataFrame.unionByName, shared)
     hubs = met.filter("node = hub").select("set", "parts", *(F.col(c).alias(f"b_{c}") for c in columns))
 
@@ -127,6 +128,6 @@ def linked(nodes: DataFrame, near, extra: list[str], positions: int = 8, most: i
     across = left.alias("l").join(right.alias("r"), (F.col("l.set") == F.col("r.set")) & (F.col("l.parts") == F.col("r.parts")) & close).drop("set", "parts").distinct()
     second = components(near(across).select(F.col("a_root").alias("a"), F.col("b_root").alias("b")))
     up = second.select(F.col("node").alias("root"), F.col("root").alias("above"))
-    out = written(first.join(up, "root", "left").select("node", F.coalesce("above", "root").alias("root")).unionByName(second.join(first.select("node"), "node", "left_anti")), "linked")
+    out = written(first.join(up, "root", "left").select("node", F.coalesce("above", "root").alias("root")).unionByName(second.join(first.select("node"), "node", "left_anti")), "linked", release=True)
     forget(*shared, rest, first, second)
     return out
