@@ -217,13 +217,15 @@ class WordEncoder:
     def _look_up(self, words: list[str]) -> None:
         """A word of letters, behind a space or not, is one match of the pattern and goes to the model alone, its bytes
         as the characters that stand for them; all else takes the tokenizer's whole way."""
-        memo, one, rest = self.memo, self.model.tokenize, []
+        memo, one, rest, kind, space = self.memo, self.model.tokenize, [], self.kind, chr(self.visible[32])
         for word in words:
-            if word[word[:1] == " " :].isalpha() and max(word) < "\u0250":
-                text = word.encode().decode("latin-1").translate(self.visible)
-                memo[word] = array(self.kind, [t.id for t in one(text)]).tobytes()
-            else:
+            letters = word[1:] if word[:1] == " " else word
+            if not letters.isalpha() or not letters.isascii() and max(letters) >= "\u0250":
                 rest.append(word)
+                continue
+            text = letters if letters.isascii() else letters.encode().decode("latin-1").translate(self.visible)
+            found = one(text if letters is word else space + text)
+            memo[word] = array(kind, [t.id for t in found]).tobytes()
         for at in range(0, len(rest), 10_000):
             part = rest[at : at + 10_000]
             for word, found in zip(part, self.batch(part, add_special_tokens=False), strict=True):
