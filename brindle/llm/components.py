@@ -94,10 +94,6 @@ def linked(nodes: DataFrame, near, extra: list[str], positions: int = 8, most: i
     nodes: node, fp and the columns named in extra, a row per node. near(pairs) gets pairs of rows (a_ and b_
     before each name) that share at least positions - most parts and differ in at most `most` bits, and returns
     those that are links.
-
-    A bucket of m nodes isn't expanded into its pairs. First each of its nodes meets the smallest alone. Then only
-    nodes that are in different components so far meet, which finds every link that could still join two
-    components; a large group of near copies has become one component by then.
     """
     columns = ["node", "fp", *extra]
     n, least = nodes.count(), positions - most
@@ -108,24 +104,31 @@ def linked(nodes: DataFrame, near, extra: list[str], positions: int = 8, most: i
         counts = written(lists.groupBy("parts").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("hub")).filter("size > 1").drop("size"), "counts")
         shared.append(written(sifted(lists, "parts", counts).join(counts, "parts").withColumn("set", F.lit(number)), "postings"))
         forget(counts)
-    met = reduce(DataFrame.unionByName, shared)
-    hubs = met.filter("node = hub").select("set", "parts", *(F.col(c).alias(f"b_{c}") for c in columns))
+    a, b = F.col("a_fp"), F.col("b_fp")
+    return linked_by(shared, near, columns, (distance(a, b) <= most) & (shared_parts(a, b, positions, bits) >= positions - most))
 
-    def candidates(pairs: DataFrame) -> DataFrame:
-        a, b = F.col("a_fp"), F.col("b_fp")
-        return pairs.filter((shared_parts(a, b, positions, bits) >= positions - most) & (distance(a, b) <= most))
 
+def linked_by(shared: list[DataFrame], near, columns: list[str], close: Column) -> DataFrame:
+    """node, root of all nodes joined, directly or by others, by links that near() confirms.
+
+    shared: written tables, which go, of set, parts, hub and columns, a row per node and bucket (set, parts), with
+    the bucket's smallest node as hub. close tells of columns with a_ and b_ before them whether near() gets the pair.
+
+    A bucket of m nodes isn't expanded into its pairs. First each of its nodes meets the smallest alone. Then only
+    nodes that are in different components so far meet, which finds every link that could still join two
+    components; a large group of near copies has become one component by then.
+    """
+    met = reduce(DataFrame.unionByName, shared)
+    hubs = met.filter("node = hub").select("set", "parts", *(F.col(c).alias(f"b_{c}") for c in columns))
     own = [F.col(c).alias(f"a_{c}") for c in columns]
-    stars = candidates(met.filter("node <> hub").select("set", "parts", *own).join(hubs, ["set", "parts"])).drop("set", "parts").distinct()
+    stars = met.filter("node <> hub").select("set", "parts", *own).join(hubs, ["set", "parts"]).filter(close).drop("set", "parts").distinct()
     first = components(near(stars).select(F.col("a_node").alias("a"), F.col("b_node").alias("b")))
     labelled = met.drop("hub").join(first, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = labelled.groupBy("set", "parts").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").drop("least", "most")
-    rest = written(labelled.join(mixed, ["set", "parts"]), "mixed")
+    rest = written(labelled.join(mixed, ["set", "parts"]), "mixed", release=True)
     left = rest.select("set", "parts", F.col("root").alias("a_root"), *own)
     right = rest.select("set", "parts", F.col("root").alias("b_root"), *(F.col(c).alias(f"b_{c}") for c in columns))
-    a, b = F.col("a_fp"), F.col("b_fp")
-    close = (F.col("a_root") < F.col("b_root")) & (distance(a, b) <= most) & (shared_parts(a, b, positions, bits) >= positions - most)
-    across = left.alias("l").join(right.alias("r"), (F.col("l.set") == F.col("r.set")) & (F.col("l.parts") == F.col("r.parts")) & close).drop("set", "parts").distinct()
+    across = left.alias("l").join(right.alias("r"), (F.col("l.set") == F.col("r.set")) & (F.col("l.parts") == F.col("r.parts")) & (F.col("a_root") < F.col("b_root")) & close).drop("set", "parts").distinct()
     second = components(near(across).select(F.col("a_root").alias("a"), F.col("b_root").alias("b")))
     up = second.select(F.col("node").alias("root"), F.col("root").alias("above"))
     out = written(first.join(up, "root", "left").select("node", F.coalesce("above", "root").alias("root")).unionByName(second.join(first.select("node"), "node", "left_anti")), "linked", release=True)
