@@ -25,11 +25,14 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder below spark.checkpoint.dir. Only where that is unset (tests, one machine) a temporary one is set."""
+    """A fresh folder below spark.checkpoint.dir. Only where that is unset and the master is local (tests, one machine)
+    a temporary one is set; executors elsewhere couldn't read it."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not conf:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isEmpty():
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="brindle-"))
             held = spark.sparkContext._jsc.sc().getCheckpointDir()
         conf = held.get()
@@ -56,8 +59,10 @@ def written(df: DataFrame, name: str, release: bool = False) -> DataFrame:
 
 
 def forget(*tables: DataFrame) -> None:
-    """Deletes tables made by written() that no plan will read any more."""
+    """Deletes tables made by written() that no plan will read any more; others are let be."""
     for table in tables:
+        if not hasattr(table, "path"):
+            continue
         spark = table.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(table.path)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path.getParent(), True)
@@ -80,9 +85,12 @@ def sifted(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     """The rows whose key (a number) is in the column of that name of wanted, a written table, and some others.
 
     Keys are hashed into a bitmap of bounded size, 64 bits a row, which is broadcast, so that most rows that the join
-    to come would lose aren't shuffled for it. With more keys than bits it lets more through, and the join decides.
+    to come would lose aren't shuffled for it. With more keys than bits it would let nearly all through, so that the
+    rows are left to the join as they are.
     """
     n = wanted.count()
+    if n > 1 << SIFT_BITS:
+        return rows
     bits = 1 << min(SIFT_BITS, max(16, (16 * n).bit_length()))
     place = lambda c: F.pmod(F.xxhash64(F.lit(11), c), F.lit(bits))
     one = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("_place", F.lit(64)).cast("int"))

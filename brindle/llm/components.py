@@ -1,21 +1,38 @@
-"""Connected components as rounds of joins, and links of near fingerprints without all pairs of a bucket."""
+"""Connected components as rounds of joins, and links between rows that share posting lists."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import forget, sifted, written
+from brindle.llm.common import forget, salt_of, salted, sifted, written
+
+#: Ways that the rows of a hot node are split in joins.
+SALTS = 8
+#: Pairs a member, of different components, from which a posting list is split instead of being paired.
+HOT = 16
+
+
+def _looked_up(rows: DataFrame, by: str, table: DataFrame, value: str) -> DataFrame:
+    """rows with the value that table (node, value) has for the node in column by, or null. Rows that share a node are
+    split by salts; of the table only what rows name takes part, each of it once per salt."""
+    named = rows.select(F.col(by).alias("node")).distinct()
+    wanted = salted(table.join(named, "node", "left_semi").select(F.col("node").alias(by), value), SALTS)
+    split = rows.withColumn("_salt", salt_of(F.struct(*rows.columns), SALTS))
+    return split.join(wanted, [by, "_salt"], "left").select(*(split[c] for c in rows.columns), F.col(value))
+
 
 def components(edges: DataFrame) -> DataFrame:
     """node, root (smallest node reachable) for each node that an edge (a, b) touches and that isn't its own root.
 
     Every round hooks each node to its smallest neighbour, shortens the hooks to their ends by pointer jumping and
     carries the edges over to those ends; edges within an end go. Chains take as many jumps as the logarithm of
-    their length, and stars one round. All tables are in the shared folder; nothing but counts comes to the driver.
+    their length, and stars one round. All tables are in the shared folder, and go when they have been read for the
+    last time; nothing but counts comes to the driver.
     """
     low, high = F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")
     left = written(edges.filter("a <> b").select(low, high).distinct(), "edges")
@@ -23,114 +40,150 @@ def components(edges: DataFrame) -> DataFrame:
     while not left.isEmpty():
         hooks = written(left.groupBy("high").agg(F.min("low").alias("root")).withColumnRenamed("high", "node"), "hooks")
         while True:
-            up = hooks.select(F.col("node").alias("root"), F.col("root").alias("above"))
-            jumped = written(hooks.join(up, "root", "left").select("node", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved")), "hooks")
-            hooks = jumped.drop("moved")
+            up = hooks.select("node", F.col("root").alias("above"))
+            moved = _looked_up(hooks, "root", up, "above").select("node", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved"))
+            jumped = written(moved, "hooks")
+            forget(hooks)
+            hooks = jumped
             if jumped.filter("moved").isEmpty():
                 break
+        up = hooks.select("node", F.col("root").alias("above"))
+        ends = hooks.select("node", "root")
         if roots is None:
-            roots = written(hooks, "roots")
+            roots = written(ends, "roots")
         else:
-            moved = hooks.select(F.col("node").alias("root"), F.col("root").alias("above"))
-            roots = written(roots.join(moved, "root", "left").select("node", F.coalesce("above", "root").alias("root")).unionByName(hooks), "roots")
+            longer = written(_looked_up(roots, "root", up, "above").select("node", F.coalesce("above", "root").alias("root")).unionByName(ends), "roots")
+            forget(roots)
+            roots = longer
+        carried = left
         for side in ("low", "high"):
-            to = hooks.select(F.col("node").alias(side), F.col("root").alias("to"))
-            left = left.join(to, side, "left").select(F.coalesce("to", side).alias(side), *(c for c in ("low", "high") if c != side))
-        left = written(left.filter("low <> high").select(F.least("low", "high").alias("low"), F.greatest("low", "high").alias("high")).distinct(), "edges")
-    return roots if roots is not None else written(left.select(F.col("low").alias("node"), F.col("high").alias("root")), "roots")
+            carried = _looked_up(carried, side, up, "above").select(F.coalesce("above", side).alias(side), *(c for c in ("low", "high") if c != side))
+        carried = written(carried.filter("low <> high").select(F.least("low", "high").alias("low"), F.greatest("low", "high").alias("high")).distinct(), "edges")
+        forget(left, hooks)
+        left = carried
+    if roots is None:
+        return left.select(F.col("low").alias("node"), F.col("high").alias("root"))
+    forget(left)
+    return roots
 
 
-def covering(positions: int, least: int, width: int) -> list[tuple[int, ...]]:
-    """Sets of width positions such that any least positions hold one of them whole.
+def merged(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Roots by components of nodes (first) whose roots were joined further (second)."""
+    up = second.select("node", F.col("root").alias("above"))
+    moved = _looked_up(first, "root", up, "above").select("node", F.coalesce("above", "root").alias("root"))
+    return moved.unionByName(second.join(first.select("node"), "node", "left_anti"))
 
-    Where the positions can be split into groups so that least of them must meet width times in one, all sets within
-    the groups do. Otherwise sets are taken one by one, the one that meets most of what is still open first.
-    """
-    groups = (least - 1) // (width - 1) if width > 1 else 0
-    if groups:
-        split = [list(range(g, positions, groups)) for g in range(groups)]
-        return [c for g in split for c in combinations(g, width)]
-    if width == 1:
-        return [(i,) for i in range(positions - least + 1)]
-    raise ValueError("width must be below least")
 
+def link(lists: DataFrame, columns: list[str], near: Callable[[DataFrame], DataFrame], split: Callable[[DataFrame, DataFrame], DataFrame], depth: int, close: Column | None = None, met: Column | int = 1) -> DataFrame:
+    """node, root of all nodes joined, directly or by others, by links that near() confirms.
 
-def width_for(n: int, positions: int, least: int, bits: int) -> int:
-    """The narrowest key, of at most least parts, with about as many values as there are rows. Every width finds the same pairs."""
-    width = 2
-    while width < least and (n >> (width * bits) or len(covering(positions, least, width)) > len(covering(positions, least, width + 1))):
-        width += 1
-    return width
+    lists: a written table, which goes, of posting lists: key, columns (node among them) and what split() needs, a row
+    per node and list. near(pairs) gets pairs of nodes (a_ and b_ before the columns) for which close holds and that
+    met in as many lists as met says, and returns those that are links.
 
+    A list of m nodes isn't expanded into its pairs. First each of its nodes meets the smallest alone. Then only
+    nodes that are in different components so far meet, which finds every link that could still join two
+    components; a large group of near copies has become one component by then. Lists that even so hold more than
+    HOT such pairs a member are split, depth times at most: split(rows, lists) posts their rows under keys that
+    hold more of what two links must share, so that no link is lost. Pairs in a list split t times count t + 1
+    times, for that is how many lists they share at least.
+    """
+    close = F.lit(True) if close is None else close
+    a, b = ([F.col(c).alias(f"{s}_{c}") for c in columns] for s in "ab")
+
+    def enough(pairs: DataFrame) -> DataFrame:
+        rest = [c for c in pairs.columns if c not in ("a_node", "b_node", "weight")]
+        tallied = pairs.groupBy("a_node", "b_node").agg(F.sum("weight").alias("met"), *(F.first(c).alias(c) for c in rest))
+        return tallied.filter(F.col("met") >= met).drop("met")
+
+    hubs = lists.groupBy("key").agg(F.min(F.struct("node", *(c for c in columns if c != "node"))).alias("hub"))
+    hub = [F.col(f"hub.{c}").alias(f"b_{c}") for c in columns]
+    stars = lists.select("key", *a).join(hubs.select("key", *hub), "key").filter((F.col("a_node") != F.col("b_node")) & close)
+    first = components(near(enough(stars.drop("key").withColumn("weight", F.lit(1)))).select(F.col("a_node").alias("a"), F.col("b_node").alias("b")))
+    level, found, tables = lists, [], []
+    for times in range(depth + 1):
+        labelled = level.join(first, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        parts = labelled.groupBy("key", "root").agg(F.count(F.lit(1)).cast("double").alias("n")).groupBy("key").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.col("n")).alias("same"))
+        mixed = parts.select("key", ((F.col("m") * F.col("m") - F.col("same")) / 2).alias("cross"), "m").filter("cross > 0")
+        mixed = mixed.select("key", (F.col("cross") > F.col("m") * HOT).alias("hot"))
+        rest = written(labelled.join(mixed, "key"), "mixed", release=True)
+        tables.append(rest)
+        paired = rest.filter("NOT hot") if times < depth else rest
+        left = paired.select("key", F.col("root").alias("a_root"), *a)
+        right = paired.select("key", F.col("root").alias("b_root"), *b)
+        across = left.join(right, "key").filter((F.col("a_root") < F.col("b_root")) & close).drop("key")
+        # of two nodes the one in the smaller component is a, in every list they share
+        found.append(across.withColumn("weight", F.lit(times + 1)))
+        if times == depth:
+            break
+        hot = rest.filter("hot").drop("hot", "root")
+        if hot.isEmpty():
+            break
+        level = written(split(hot, lists), f"split{times}", release=True)
+        tables.append(level)
+    second = components(near(enough(reduce(DataFrame.unionByName, found))).select(F.col("a_root").alias("a"), F.col("b_root").alias("b")))
+    out = written(merged(first, second), "linked", release=True)
+    forget(lists, first, second, *tables)
+    return out
 
-def shared_parts(a: Column, b: Column, positions: int, bits: int) -> Column:
-    """How many positions of the two fingerprints hold the same part."""
-    x = a.bitwiseXOR(b)
-    mask = (1 << bits) - 1
-    parts = [((F.shiftrightunsigned(x, i * bits).bitwiseAND(F.lit(mask))) == 0).cast("int") for i in range(positions)]
-    total = parts[0]
-    for p in parts[1:]:
-        total = total + p
-    return total
 
+def shared(lists: DataFrame, release: bool = False) -> DataFrame:
+    """Posting lists (key, node and others) of more than one node, each of them once, as a written table."""
+    counts = written(lists.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a <> b").select("key"), "counts", release=release)
+    out = written(sifted(lists, "key", counts).join(counts, "key", "left_semi").dropDuplicates(["key", "node"]), "lists", release=release)
+    forget(counts)
+    return out
 
-def distance(a: Column, b: Column) -> Column:
-    return F.bit_count(a.bitwiseXOR(b))
 
+def covering(positions: int, least: int, width: int) -> list[tuple[int, ...]]:
+    """Sets of width positions such that any least positions hold one of them whole.
 
-def postings(rows: DataFrame, fp: str, at: tuple[int, ...], bits: int) -> DataFrame:
-    """rows with parts, the posting list of a set of positions that each fingerprint stands in: its parts there."""
-    part = (1 << bits) - 1
-    return rows.withColumn("parts", F.col(fp).bitwiseAND(F.lit(_signed(sum(part << (i * bits) for i in at)))))
+    Where the positions can be split into groups so that least of them must meet width times in one, all sets within
+    the groups do.
+    """
+    if not 1 <= width <= least:
+        raise ValueError("width must be from 1 to least")
+    if width == 1:
+        return [(i,) for i in range(positions - least + 1)]
+    groups = (least - 1) // (width - 1)
+    return [c for g in range(groups) for c in combinations(range(g, positions, groups), width)]
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+def part(fp: Column, at: Column | int, bits: int) -> Column:
+    shift = at * bits if isinstance(at, int) else (at * F.lit(bits)).cast("int")
+    return F.call_function("shiftrightunsigned", fp, F.lit(shift) if isinstance(shift, int) else shift).bitwiseAND(F.lit((1 << bits) - 1))
 
 
-def linked(nodes: DataFrame, near, extra: list[str], positions: int = 8, most: int = 3, bits: int = 8) -> DataFrame:
-    """node, root of all nodes joined, directly or by others, by links that near() confirms.
+def tallied(pairs: DataFrame, positions: int = 8, most: int = 3, bits: int = 8) -> DataFrame:
+    """pairs (a_fp, b_fp) that share at least positions - most parts, the fewest that fingerprints of at most `most`
+    differing bits can share, with that number as column shared."""
+    same = [(part(F.col("a_fp"), i, bits) == part(F.col("b_fp"), i, bits)).cast("int") for i in range(positions)]
+    return pairs.withColumn("shared", reduce(lambda x, y: x + y, same)).filter(F.col("shared") >= positions - most)
 
-    nodes: node, fp and the columns named in extra, a row per node. near(pairs) gets pairs of rows (a_ and b_
-    before each name) that share at least positions - most parts and differ in at most `most` bits, and returns
-    those that are links.
+
+def linked(nodes: DataFrame, near: Callable[[DataFrame], DataFrame], extra: list[str], positions: int = 8, most: int = 3, bits: int = 8, width: int = 3) -> DataFrame:
+    """node, root of all nodes joined, directly or by others, by fingerprints of at most `most` differing bits that
+    near() confirms; nodes: node, fp and the columns named in extra, a row per node.
+
+    An inverted index by positional parts: lists are kept for sets of width positions, whatever the number of nodes.
+    Pairs that meet in a list are tallied, those that share fewer parts than two near fingerprints must go, and the
+    rest are compared bit by bit. A list that gets hot is split by a part more: of the positions left two links share all but `most`, so
+    one more than those are posted. The index grows by that factor (4 of 8 bytes) where and only where lists are hot.
     """
+    least = positions - most
     columns = ["node", "fp", *extra]
-    n, least = nodes.count(), positions - most
-    shared = []
-    for number, at in enumerate(covering(positions, least, width_for(n, positions, least, bits))):
-        # one set of positions at a time: what is on disk at once doesn't grow with their number
-        lists = postings(nodes.select(*columns), "fp", at, bits)
-        counts = written(lists.groupBy("parts").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("hub")).filter("size > 1").drop("size"), "counts")
-        shared.append(written(sifted(lists, "parts", counts).join(counts, "parts").withColumn("set", F.lit(number)), "postings"))
-        forget(counts)
-    a, b = F.col("a_fp"), F.col("b_fp")
-    return linked_by(shared, near, columns, (distance(a, b) <= most) & (shared_parts(a, b, positions, bits) >= positions - most))
-
-
-def linked_by(shared: list[DataFrame], near, columns: list[str], close: Column) -> DataFrame:
-    """node, root of all nodes joined, directly or by others, by links that near() confirms.
+    places = covering(positions, least, width)
+    posted = [F.struct(F.xxhash64(F.lit(n), *(part(F.col("fp"), i, bits) for i in at)).alias("key"), F.lit(sum(1 << i for i in at)).alias("used")) for n, at in enumerate(places)]
+    lists = shared(nodes.select(*columns, F.inline(F.array(*posted))))
 
-    shared: written tables, which go, of set, parts, hub and columns, a row per node and bucket (set, parts), with
-    the bucket's smallest node as hub. close tells of columns with a_ and b_ before them whether near() gets the pair.
+    def split(rows: DataFrame, _: DataFrame) -> DataFrame:
+        left = F.slice(F.filter(F.array(*map(F.lit, range(positions))), lambda i: F.getbit(F.col("used"), i) == 0), 1, most + 1)
+        further = rows.select(*columns, "used", "key", F.explode(left).alias("at"))
+        key = F.xxhash64("key", "at", part(F.col("fp"), F.col("at"), bits))
+        return further.select(key.alias("key"), *columns, F.col("used").bitwiseOR(F.call_function("shiftleft", F.lit(1), F.col("at"))).alias("used"))
 
-    A bucket of m nodes isn't expanded into its pairs. First each of its nodes meets the smallest alone. Then only
-    nodes that are in different components so far meet, which finds every link that could still join two
-    components; a large group of near copies has become one component by then.
-    """
-    met = reduce(DataFrame.unionByName, shared)
-    hubs = met.filter("node = hub").select("set", "parts", *(F.col(c).alias(f"b_{c}") for c in columns))
-    own = [F.col(c).alias(f"a_{c}") for c in columns]
-    stars = met.filter("node <> hub").select("set", "parts", *own).join(hubs, ["set", "parts"]).filter(close).drop("set", "parts").distinct()
-    first = components(near(stars).select(F.col("a_node").alias("a"), F.col("b_node").alias("b")))
-    labelled = met.drop("hub").join(first, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = labelled.groupBy("set", "parts").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").drop("least", "most")
-    rest = written(labelled.join(mixed, ["set", "parts"]), "mixed", release=True)
-    left = rest.select("set", "parts", F.col("root").alias("a_root"), *own)
-    right = rest.select("set", "parts", F.col("root").alias("b_root"), *(F.col(c).alias(f"b_{c}") for c in columns))
-    across = left.alias("l").join(right.alias("r"), (F.col("l.set") == F.col("r.set")) & (F.col("l.parts") == F.col("r.parts")) & (F.col("a_root") < F.col("b_root")) & close).drop("set", "parts").distinct()
-    second = components(near(across).select(F.col("a_root").alias("a"), F.col("b_root").alias("b")))
-    up = second.select(F.col("node").alias("root"), F.col("root").alias("above"))
-    out = written(first.join(up, "root", "left").select("node", F.coalesce("above", "root").alias("root")).unionByName(second.join(first.select("node"), "node", "left_anti")), "linked", release=True)
-    forget(*shared, rest, first, second)
-    return out
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        counted = tallied(pairs, positions, most, bits)
+        return near(counted.filter(F.bit_count(F.col("a_fp").bitwiseXOR(F.col("b_fp"))) <= most).drop("shared"))
+
+    return link(lists, columns, confirmed, split, least - width)

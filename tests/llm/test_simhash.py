@@ -5,7 +5,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from brindle.llm.components import components, covering, linked
+from brindle.llm.components import components, covering, linked, tallied
 from brindle.llm.simhash import near_dedup
 
 from .conftest import by_row
@@ -81,5 +81,22 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+def test_tally_removes_pairs_before_they_are_compared(spark):
+    pairs = spark.createDataFrame([(0, 0x0700000000000000), (0, 0x0101010100000000), (0, 0x01010100), (-1, -1)], "a_fp long, b_fp long")
+    assert sorted((r["b_fp"], r["shared"]) for r in tallied(pairs).collect()) == [(-1, 8), (0x01010100, 5), (0x0700000000000000, 7)]
+
+
+@pytest.mark.parametrize("n", [60, 2000])
+def test_hot_lists_are_split_and_no_link_is_lost(spark, n):
+    """Fingerprints that share three bytes, some of them near."""
+    rng = random.Random(n)
+    fps = sorted({(rng.getrandbits(40) << 24 | 0xABCDEF) & (1 << 63) - 1 for _ in range(n)} | {x ^ 1 << 30 ^ 1 << 50 for x in ((7 * i) << 32 | 0xABCDEF for i in range(40))} | {(7 * i) << 32 | 0xABCDEF for i in range(40)})
+    near = lambda a, b: (a ^ b).bit_count() <= 3
+    roots = brute_roots(fps, near)
+    nodes = spark.createDataFrame([(x,) for x in fps], "node long").withColumn("fp", F.col("node"))
+    found = {r["node"]: r["root"] for r in linked(nodes, lambda p: p, []).collect()}
+    assert [found.get(x, x) for x in fps] == [fps[r] for r in roots]
+
+
 def test_empty(empty):
     assert near_dedup(empty).collect() == []
