@@ -103,15 +103,15 @@ def sifted(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
 APART = re.compile(r"\s\s")
 
 
-def by_words(texts: list[str], ids_of: Callable[[list[str]], list[bytes]]) -> list[bytes]:
+def by_words(texts: list[str], ids_of: Callable[[list[str]], list[bytes]], uncut: re.Pattern) -> list[bytes]:
     """The packed ids of each text; ids_of gets distinct pieces of texts and returns theirs.
 
     GPT-2's pattern never joins what stands before a single space or line feed with what follows it, if neither
     neighbour is white space. So a text is cut into words, each with the space before it, and the ids of its words,
-    one after the other, are the text's. Texts in which white space meets white space are one piece. Cutting,
+    one after the other, are the text's. Texts in which white space meets white space, or in which uncut is found, are one piece. Cutting,
     telling words apart and putting ids together are Arrow's, a word each.
     """
-    whole = [i for i, t in enumerate(texts) if "\0" in t or APART.search(t)]
+    whole = [i for i, t in enumerate(texts) if "\0" in t or APART.search(t) or uncut.search(t)]
     skip = set(whole)
     cut = pa.array([t for i, t in enumerate(texts) if i not in skip], pa.large_string())
     cut = pc.replace_substring(pc.replace_substring(cut, " ", "\0 "), "\n", "\0\n\0")

@@ -34,6 +34,8 @@ class Track:
     sizes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     times: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     key: np.ndarray = field(default_factory=lambda: np.zeros(0, bool))
+    number: int = 0
+    ends: int = 0
 
     @property
     def seconds(self) -> float:
@@ -45,8 +47,10 @@ class Track:
 
 
 def boxes(data: memoryview, at: int, end: int) -> Iterator[tuple[bytes, int, int]]:
-    """Kind, start of content and end of each box. A size of 1 has its 64 bits after the kind; 0 reaches the end."""
-    while at + 8 <= end:
+    """Name, start and end of the content of each box from at to end."""
+    while at < end:
+        if at + 8 > end:
+            raise ValueError(f"a box's head at {at} is cut off")
         size, kind = struct.unpack_from(">I4s", data, at)
         head = 8
         if size == 1:
@@ -59,91 +63,193 @@ def boxes(data: memoryview, at: int, end: int) -> Iterator[tuple[bytes, int, int
             raise ValueError(f"box {kind!r} at {at} has a size of {size}")
         if kind == b"uuid":
             head += 16
-        yield kind, at + head, at + size
+        yield kind, min(at + head, at + size), at + size
         at += size
 
 
-def _table(data: memoryview, at: int, kind: str, columns: int, entries: int) -> np.ndarray:
-    return np.frombuffer(data, kind, columns * entries, at).astype(np.int64).reshape(entries, columns)
+class Content:
+    """What a box holds; reading beyond its end is a ValueError."""
 
+    def __init__(self, data: memoryview, at: int, end: int):
+        self.data, self.at, self.end = data, at, end
 
-def _u32(data: memoryview, at: int) -> int:
-    return struct.unpack_from(">I", data, at)[0]
+    def take(self, form: str, at: int) -> tuple:
+        if at < 0 or self.at + at + struct.calcsize(form) > self.end:
+            raise ValueError(f"a table at {self.at} is cut off")
+        return struct.unpack_from(form, self.data, self.at + at)
 
+    def u32(self, at: int) -> int:
+        return self.take(">I", at)[0]
 
-def _sample_table(data: memoryview, found: dict[bytes, tuple[int, int]], track: Track) -> None:
-    if b"stsd" in found and _u32(data, (at := found[b"stsd"][0]) + 4):
-        track.codec = bytes(data[at + 12 : at + 16]).decode("latin-1")
-    if b"stsz" not in found and b"stz2" not in found:
-        return
-    if b"stsz" in found:
-        at = found[b"stsz"][0]
-        same, n = _u32(data, at + 4), _u32(data, at + 8)
-        track.sizes = np.full(n, same, np.int64) if same else _table(data, at + 12, ">u4", 1, n)[:, 0]
-    else:
-        at = found[b"stz2"][0]
-        bits, n = data[at + 7], _u32(data, at + 8)
+    def table(self, at: int, kind: str, columns: int, entries: int) -> np.ndarray:
+        if self.at + at + columns * entries * np.dtype(kind).itemsize > self.end:
+            raise ValueError(f"a table at {self.at} has {entries} entries and no room for them")
+        return np.frombuffer(self.data, kind, columns * entries, self.at + at).astype(np.int64).reshape(entries, columns)
+
+
+def _sizes(found: dict[bytes, Content], length: int) -> np.ndarray | None:
+    if box := found.get(b"stsz"):
+        same, n = box.u32(4), box.u32(8)
+        if not same:
+            return box.table(12, ">u4", 1, n)[:, 0]
+        if same * n > length:
+            raise ValueError(f"{n} samples of {same} bytes are more than the file holds")
+        return np.full(n, same, np.int64)
+    if box := found.get(b"stz2"):
+        bits, n = box.take(">B", 7)[0], box.u32(8)
         if bits == 4:
-            pairs = np.frombuffer(data, np.uint8, (n + 1) // 2, at + 12)
-            track.sizes = np.stack([pairs >> 4, pairs & 15], 1).reshape(-1)[:n].astype(np.int64)
-        else:
-            track.sizes = _table(data, at + 12, f">u{bits // 8}", 1, n)[:, 0]
-    if b"co64" in found:
-        at = found[b"co64"][0]
-        chunks = _table(data, at + 8, ">u8", 1, _u32(data, at + 4))[:, 0]
-    elif b"stco" in found:
-        at = found[b"stco"][0]
-        chunks = _table(data, at + 8, ">u4", 1, _u32(data, at + 4))[:, 0]
+            pairs = box.table(12, "u1", 1, (n + 1) // 2)[:, 0]
+            return np.stack([pairs >> 4, pairs & 15], 1).reshape(-1)[:n]
+        if bits not in (8, 16):
+            raise ValueError(f"sample sizes of {bits} bits")
+        return box.table(12, f">u{bits // 8}", 1, n)[:, 0]
+    return None
+
+
+def _offsets(found: dict[bytes, Content], sizes: np.ndarray) -> np.ndarray:
+    n = len(sizes)
+    if box := found.get(b"co64"):
+        chunks = box.table(8, ">u8", 1, box.u32(4))[:, 0]
+    elif box := found.get(b"stco"):
+        chunks = box.table(8, ">u4", 1, box.u32(4))[:, 0]
     else:
         chunks = np.zeros(0, np.int64)
-    if len(chunks) and b"stsc" in found:
-        at = found[b"stsc"][0]
-        runs = _table(data, at + 8, ">u4", 3, _u32(data, at + 4))
-        spans = np.diff(np.append(runs[:, 0], len(chunks) + 1))
-        per_chunk = np.repeat(runs[:, 1], spans)
-        of = np.repeat(np.arange(len(chunks)), per_chunk)[:n]
-        if len(of) != n:
-            raise ValueError("chunks and samples differ in number")
-        before = np.cumsum(track.sizes) - track.sizes
-        first = np.searchsorted(of, np.arange(len(chunks)))
-        track.offsets = chunks[of] + before - before[np.minimum(first, max(0, n - 1))][of]
-    if b"stts" in found:
-        at = found[b"stts"][0]
-        steps = _table(data, at + 8, ">u4", 2, _u32(data, at + 4))
+    if not n:
+        return chunks[:0]
+    if not len(chunks) or b"stsc" not in found:
+        raise ValueError("samples without chunks")
+    runs = found[b"stsc"].table(8, ">u4", 3, found[b"stsc"].u32(4))
+    spans = np.diff(np.append(runs[:, 0], len(chunks) + 1))
+    if not len(runs) or runs[0, 0] != 1 or (spans < 0).any():
+        raise ValueError("chunks out of order")
+    per_chunk = np.minimum(np.repeat(runs[:, 1], spans), n)  # no chunk holds more than all
+    counts = np.clip(n - (np.cumsum(per_chunk) - per_chunk), 0, per_chunk)
+    if counts.sum() != n:
+        raise ValueError("chunks and samples differ in number")
+    of, before = np.repeat(np.arange(len(chunks)), counts), np.cumsum(sizes) - sizes
+    first = np.searchsorted(of, np.arange(len(chunks)))
+    return chunks[of] + before - before[np.minimum(first, n - 1)][of]
+
+
+def _sample_table(found: dict[bytes, Content], track: Track, length: int) -> None:
+    if (box := found.get(b"stsd")) and box.u32(4):
+        track.codec = box.take("4s", 12)[0].decode("latin-1")
+    sizes = _sizes(found, length)
+    if sizes is None:
+        return
+    n, track.sizes, track.offsets = len(sizes), sizes, _offsets(found, sizes)
+    if n and (track.offsets.min() < 0 or (track.offsets + sizes).max() > length):
+        raise ValueError("samples lie beyond the end of the file")
+    if box := found.get(b"stts"):
+        steps = box.table(8, ">u4", 2, box.u32(4))
+        if steps[:, 0].sum() != n:
+            raise ValueError("times and samples differ in number")
         deltas = np.repeat(steps[:, 1], steps[:, 0])
         track.times = np.cumsum(deltas) - deltas
+        track.ends = int(deltas.sum())
     track.key = np.ones(n, bool)
-    if b"stss" in found:  # without it every sample is a key frame
-        at = found[b"stss"][0]
+    if box := found.get(b"stss"):  # without it every sample is a key frame
+        keys = box.table(8, ">u4", 1, box.u32(4))[:, 0]
+        if len(keys) and (keys.min() < 1 or keys.max() > n):
+            raise ValueError("a key frame's number is no sample's")
         track.key = np.zeros(n, bool)
-        track.key[_table(data, at + 8, ">u4", 1, _u32(data, at + 4))[:, 0] - 1] = True
+        track.key[keys - 1] = True
 
 
-def _track(data: memoryview, at: int, end: int) -> Track:
-    track, found, stack = Track(), {}, [(at, end)]
+def _within(data: memoryview, at: int, end: int) -> dict[bytes, Content]:
+    """The first box of each name in a container and the containers in it."""
+    found, stack = {}, [(at, end)]
     while stack:
         for kind, a, b in boxes(data, *stack.pop()):
             if kind in CONTAINERS:
                 stack.append((a, b))
             else:
-                found.setdefault(kind, (a, b))
-    if b"mdhd" in found:
-        a = found[b"mdhd"][0]
-        track.timescale, track.duration = struct.unpack_from(">IQ", data, a + 20) if data[a] == 1 else struct.unpack_from(">II", data, a + 12)
-    if b"hdlr" in found:
-        a = found[b"hdlr"][0]
-        track.kind = bytes(data[a + 8 : a + 12]).decode("latin-1")
-    _sample_table(data, found, track)
+                found.setdefault(kind, Content(data, a, b))
+    return found
+
+
+def _track(data: memoryview, at: int, end: int) -> Track:
+    track, found = Track(), _within(data, at, end)
+    if box := found.get(b"tkhd"):
+        track.number = box.u32(20 if box.take(">B", 0)[0] == 1 else 12)
+    if box := found.get(b"mdhd"):
+        track.timescale, track.duration = box.take(">IQ", 20) if box.take(">B", 0)[0] == 1 else box.take(">II", 12)
+    if box := found.get(b"hdlr"):
+        track.kind = box.take("4s", 8)[0].decode("latin-1")
+    _sample_table(found, track, len(data))
     return track
 
 
+def _run(box: Content, start: int, defaults: tuple[int, int, int], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sizes, durations and flags of the samples of a track run (trun)."""
+    flags, n = box.u32(0) & 0xFFFFFF, box.u32(4)
+    at = 8 + 4 * bool(flags & 1) + 4 * bool(flags & 4)
+    present = [bool(flags & bit) for bit in (0x100, 0x200, 0x400, 0x800)]
+    if n > length and not any(present):
+        raise ValueError(f"a run of {n} samples is more than the file holds")
+    table = box.table(at, ">u4", sum(present), n) if any(present) else np.zeros((n, 0), np.int64)
+    columns = [table[:, sum(present[:i])] if there else np.full(n, default, np.int64) for i, (there, default) in enumerate(zip(present[:3], defaults, strict=True))]
+    if flags & 4 and n and not present[2]:
+        columns[2][0] = box.u32(8 + 4 * bool(flags & 1))
+    durations, sizes, marks = columns
+    if n and (start < 0 or start + int(sizes.sum()) > length):
+        raise ValueError("samples of a fragment lie beyond the end of the file")
+    return sizes, durations, marks
+
+
+def _fragment(data: memoryview, start: int, at: int, end: int, tracks: dict[int, Track], extends: dict[int, tuple[int, int, int]]) -> None:
+    """Adds the samples of a movie fragment (moof, which starts at start) to its tracks."""
+    follows = start
+    for kind, a, b in boxes(data, at, end):
+        if kind != b"traf":
+            continue
+        parts = [(k, Content(data, x, y)) for k, x, y in boxes(data, a, b)]
+        head = next((c for k, c in parts if k == b"tfhd"), None)
+        if head is None or (track := tracks.get(head.u32(4))) is None:
+            raise ValueError("a fragment of no track")
+        flags, place = head.u32(0) & 0xFFFFFF, 8
+        base = start if flags & 0x20000 else follows
+        if flags & 1:
+            base, place = head.take(">Q", 8)[0], 16
+        place += 4 * bool(flags & 2)
+        defaults = list(extends.get(track.number, (0, 0, 0)))
+        for i, bit in enumerate((0x8, 0x10, 0x20)):
+            if flags & bit:
+                defaults[i], place = head.u32(place), place + 4
+        clock = next((c.take(">Q", 4)[0] if c.take(">B", 0)[0] == 1 else c.u32(4) for k, c in parts if k == b"tfdt"), track.ends)
+        follows = base
+        for k, box in parts:
+            if k != b"trun":
+                continue
+            first = base + box.take(">i", 8)[0] if box.u32(0) & 1 else follows
+            sizes, durations, marks = _run(box, first, tuple(defaults), len(data))
+            track.sizes = np.append(track.sizes, sizes)
+            track.offsets = np.append(track.offsets, first + np.cumsum(sizes) - sizes)
+            if clock + int(durations.sum()) >= 1 << 63:
+                raise ValueError("a fragment's times are out of range")
+            track.times = np.append(track.times, clock + np.cumsum(durations) - durations)
+            track.key = np.append(track.key, marks & 0x10000 == 0)
+            clock, follows = clock + int(durations.sum()), first + int(sizes.sum())
+        track.ends = max(track.ends, clock)
+        track.duration = max(track.duration, track.ends)
+
+
 def parse(data: bytes) -> list[Track]:
-    """The tracks of a file. Broken boxes raise ValueError; a file without tracks has none."""
+    """The tracks of a file, with the samples of its fragments. Whatever is broken raises ValueError; a file without
+    tracks has none. Tables are read only as far as the file's length allows what they say."""
     view = memoryview(data)
     try:
-        return [_track(view, a, b) for kind, at, end in boxes(view, 0, len(view)) if kind == b"moov" for kind2, a, b in boxes(view, at, end) if kind2 == b"trak"]
-    except struct.error as e:
-        raise ValueError(f"a box is cut off: {e}") from e
+        top = list(boxes(view, 0, len(view)))
+        movies = [(k, a, b) for kind, at, end in top if kind == b"moov" for k, a, b in boxes(view, at, end)]
+        tracks = [_track(view, a, b) for k, a, b in movies if k == b"trak"]
+        trex = [Content(view, x, y) for k, a, b in movies if k == b"mvex" for kind, x, y in boxes(view, a, b) if kind == b"trex"]
+        extends = {c.u32(4): (c.u32(12), c.u32(16), c.u32(20)) for c in trex}
+        for kind, at, end in top:
+            if kind == b"moof":
+                _fragment(view, at - 8, at, end, {t.number: t for t in tracks}, extends)
+        return tracks
+    except (struct.error, OverflowError, IndexError, TypeError, MemoryError) as e:
+        raise ValueError(f"a box is broken: {e}") from e
 
 
 def _box(kind: bytes, *parts: bytes) -> bytes:
@@ -246,7 +352,7 @@ def stored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def digests(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """What stored() made, read back through the sample tables."""
+    """What stored() made, read back through the sample tables; a row for each, repeated ones too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -21,10 +21,10 @@ ROUNDS = 8
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}+@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])",
     "secret": r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])",
-    "password": r"(?<![A-Za-z])(?i:password|passwd|pwd)(?-i) ?[=:] ?[^\s\"',;]{3,127}[A-Za-z0-9]",
-    "token": r"(?<![A-Za-z])(?i:token|secret|api_?key)(?-i) ?[=:] ?\"[A-Za-z0-9+/_\-]{16,512}\"",
+    "password": r"(?<![A-Za-z])(?i:password|passwd|pwd)(?-i) ?[=:] ?[^\s\"',;]{3,}[A-Za-z0-9]",
+    "token": r"(?<![A-Za-z])(?i:token|secret|api_?key)(?-i) ?[=:] ?(?:\"[A-Za-z0-9+/_\-]{16,}+\"|'[A-Za-z0-9+/_\-]{16,}+'|(?=[A-Za-z+/_\-]*[0-9])[A-Za-z0-9+/_\-]{16,}+)",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
-    "date": r"(?<![0-9A-Za-z./\-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9A-Za-z/\-]|\.[0-9])",
+    "date": r"(?<![0-9A-Za-z./\-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?!(?!T[0-9]{2}:[0-9]{2})[0-9A-Za-z/\-]|\.[0-9])",
     "ip": r"(?<![0-9A-Za-z.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9A-Za-z]|\.[0-9])",
     "phone": r"(?<![0-9A-Za-z+])(?:\+1[ .\-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[.\- ])[0-9]{3}[.\- ][0-9]{4}(?![0-9A-Za-z]|[.\-][0-9])",
     "abroad": r"(?<![0-9A-Za-z+])\+[2-9][0-9]{0,2}(?:(?:[ .\-]?[0-9]{1,2}){5}|(?:[ .\-]?\(?[0-9]{1,4}\)?){2,3})(?![0-9A-Za-z])",
@@ -36,6 +36,8 @@ ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 HINT = r"[0-9][^A-Za-z]{0,3}[0-9]|@|AKIA|(?i:password|passwd|pwd|token|secret|api_?key) ?[=:]"
 #: Days of the Gregorian calendar's cycle of 400 years, 189 x 773, from this date on.
 CYCLE, FIRST_DAY = (189, 773), "1800-01-01"
+#: The last day that may be a month too, and the most steps of a walk over days.
+TWELVE, STEPS = 12, 100
 
 
 def _mac(key: str, *parts: Column, bits: int = 256) -> Column:
@@ -182,33 +184,33 @@ def _ip(key: str, m: Column, reveal: bool) -> Column:
 
 def _date(key: str, m: Column, reveal: bool) -> Column:
     """yyyy-mm-dd, dd.mm.yyyy, and with slashes month/day/year if that is a date, else day/month/year. Dates from 1800
-    to 2199 are permuted among themselves, separately for each form; others stay. So that day/month/year stays
-    apart from month/day/year, days 13 to 28 are permuted among those (16 x 12 x 400), and later ones by year."""
+    to 2199 are permuted among themselves, whatever their form, and written in the form found; others stay.
+
+    So that day/month/year stays apart from month/day/year, days up to 12 of a month are permuted among those and
+    later ones among later ones: the permutation of all days is applied again until one of the same class comes
+    (at least two in five do, so that STEPS steps end every walk in practice)."""
     first = F.lit(FIRST_DAY).cast("date")
+    late = lambda day: F.dayofmonth(F.date_add(first, day.cast("int"))) > TWELVE
 
-    def moved(form: str) -> Column:
-        day = F.datediff(F.try_to_date(m, form), first)
-        pair = feistel(key, "date" + form, F.floor(day / CYCLE[1]), CYCLE[0], F.pmod(day, F.lit(CYCLE[1])), CYCLE[1], reveal)
-        to = _with(pair, lambda p: F.date_format(F.date_add(first, (p["l"] * CYCLE[1] + p["r"]).cast("int")), form))
-        return F.when(day.between(0, CYCLE[0] * CYCLE[1] - 1), to)
+    def once(day: Column) -> Column:
+        pair = feistel(key, "date", F.floor(day / CYCLE[1]), CYCLE[0], F.pmod(day, F.lit(CYCLE[1])), CYCLE[1], reveal)
+        return _with(pair, lambda p: p["l"] * CYCLE[1] + p["r"])
 
-    def day_first() -> Column:
-        day, month, year = (F.substring(m, a, n).cast("long") for a, n in ((1, 2), (4, 2), (7, 4)))
-        joined = ((year - 1800) * 12 + month - 1) * 16 + day - 13
-        pair = feistel(key, "day first", F.floor(joined / 320), 240, F.pmod(joined, F.lit(320)), 320, reveal)
+    def walked(day: Column) -> Column:
+        start = F.struct(once(day).alias("at"), late(day).alias("late"))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, lambda s, _: F.struct(F.when(late(s["at"]) == s["late"], s["at"]).otherwise(once(s["at"])).alias("at"), s["late"].alias("late")), lambda s: s["at"])
 
-        def back(p: Column) -> Column:
-            n = p["l"] * 320 + p["r"]
-            months = F.floor(n / 16).cast("long")
-            return F.concat_ws("/", _padded(F.pmod(n, F.lit(16)) + 13, 2), _padded(F.pmod(months, F.lit(12)) + 1, 2), (F.floor(months / 12) + 1800).cast("string"))
+    parsed = {form: F.try_to_date(m, form) for form in ("yyyy-MM-dd", "dd.MM.yyyy", "MM/dd/yyyy", "dd/MM/yyyy")}
+    form = F.when(F.substring(m, 5, 1) == "-", F.lit("yyyy-MM-dd")).when(F.substring(m, 3, 1) == ".", F.lit("dd.MM.yyyy")).when(parsed["MM/dd/yyyy"].isNotNull(), F.lit("MM/dd/yyyy")).otherwise(F.lit("dd/MM/yyyy"))
+    found = F.when(F.substring(m, 5, 1) == "-", parsed["yyyy-MM-dd"]).when(F.substring(m, 3, 1) == ".", parsed["dd.MM.yyyy"]).otherwise(F.coalesce(parsed["MM/dd/yyyy"], parsed["dd/MM/yyyy"]))
+
+    def moved(d: Column) -> Column:
+        def shown(n: Column) -> Column:
+            return F.coalesce(*(F.when(d["form"] == f, F.date_format(F.date_add(first, n.cast("int")), f)) for f in parsed))
 
-        late = feistel(key, "year", F.floor((year - 1800) / 20), 20, F.pmod(year, F.lit(20)), 20, reveal)
-        of_year = _with(late, lambda p: F.concat(F.substring(m, 1, 6), (p["l"] * 20 + p["r"] + 1800).cast("string")))
-        valid = year.between(1800, 2199) & F.try_to_date(m, "dd/MM/yyyy").isNotNull()
-        return F.when(valid & day.between(13, 28), _with(pair, back)).when(valid & (day > 28) & (month != 2), of_year)
+        return F.when(d["day"].between(0, CYCLE[0] * CYCLE[1] - 1), _with(walked(d["day"].cast("long")), shown))
 
-    iso, dots = F.substring(m, 5, 1) == "-", F.substring(m, 3, 1) == "."
-    return F.coalesce(F.when(iso, moved("yyyy-MM-dd")), F.when(dots, moved("dd.MM.yyyy")), F.when(~iso & ~dots, F.coalesce(moved("MM/dd/yyyy"), day_first())), m)
+    return F.coalesce(_with(F.struct(F.datediff(found, first).alias("day"), form.alias("form")), moved), m)
 
 
 def _mod97(text: Column) -> Column:
@@ -246,7 +248,7 @@ def _after(key: str, kind: str, m: Column, head: str, reveal: bool) -> Column:
     """What follows a name stays in its shape, hexadecimal numbers as such."""
     name = F.regexp_extract(m, head, 0)
     value = F.substring(m, F.length(name) + 1, F.length(m))
-    hexadecimal = value.rlike(r'^[0-9a-f]+"?$')
+    hexadecimal = value.rlike("^[0-9a-f]+[\"']?$")
     return F.concat(name, F.when(hexadecimal, feistel_text(key, kind + "16", value, reveal, 6)).otherwise(feistel_text(key, kind, value, reveal)))
 
 
@@ -256,7 +258,7 @@ def _pseudonym(key: str, m: Column, reveal: bool) -> Column:
         F.when(is_a("email"), _email(key, m, reveal))
         .when(is_a("secret"), F.concat(F.lit("AKIA"), feistel_text(key, "secret", F.substring(m, 5, 16), reveal)))
         .when(is_a("password"), _after(key, "password", m, "^[A-Za-z]+ ?[=:] ?", reveal))
-        .when(is_a("token"), _after(key, "token", m, '^[A-Za-z_]+ ?[=:] ?"', reveal))
+        .when(is_a("token"), _after(key, "token", m, "^[A-Za-z_]+ ?[=:] ?[\"']?", reveal))
         .when(is_a("iban"), _iban(key, m, reveal))
         .when(is_a("date"), _date(key, m, reveal))
         .when(is_a("ip"), _ip(key, m, reveal))
@@ -272,10 +274,12 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: s
 
     Null stays null (count 0) and empty empty. Values that only look like a number or date of their kind stay. With
     reveal the pseudonyms made with the same key become the values again. All other columns stay, whatever their
-    names; rows, repeated ones too, stay as many as they are. The key is a literal of the plan: give it from a
+    names; a column of docs named count_col is refused (ValueError): name another, or None; rows, repeated ones too, stay as many as they are. The key is a literal of the plan: give it from a
     store of secrets, and redact plans (spark.redaction.string.regex) where they are logged.
     """
-    text = F.col(text_col)
+    if count_col in docs.columns:
+        raise ValueError(f"docs has a column {count_col}: give another count_col")
+    text = F.col(f"`{text_col}`")
     found = F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
     new = F.transform(found, lambda m: _pseudonym(key, m, reveal))
     both = F.when(F.size(found) > 0, F.struct(found.alias("old"), new.alias("new"), F.split(text, ANY, -1).alias("between")))
@@ -284,7 +288,7 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: s
         return F.array_join(F.zip_with(b["between"], F.concat(b["new"], F.array(F.lit(""))), lambda g, v: F.concat(g, v)), "")
 
     done = F.transform(F.array(both), lambda b: F.when(b.isNotNull(), F.struct(joined(b).alias("text"), F.size(F.filter(F.zip_with(b["old"], b["new"], lambda o, n: o != n), lambda x: x)).cast("long").alias("n"))))[0]
-    result = "_brindle_pii"
+    result = "_brindle_pii" + "_" * max((len(c) for c in docs.columns), default=0)  # no column of docs has that name
     rows = docs.withColumn(result, done)
-    columns = [F.coalesce(F.col(f"{result}.text"), text).alias(text_col) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c != count_col]
+    columns = [F.coalesce(F.col(f"{result}.text"), text).alias(text_col) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
     return rows.select(*columns, *([F.coalesce(F.col(f"{result}.n"), F.lit(0)).alias(count_col)] if count_col else []))

@@ -13,7 +13,9 @@ with the key before it; each block begins with a whole key. Numbers in entries a
 from __future__ import annotations
 
 import bisect
+import json
 import os
+import re
 import struct
 import zlib
 from array import array
@@ -35,6 +37,8 @@ FOOTER = struct.Struct("<QQQQQQII8s")
 BLOCK_BYTES, SHARD_BYTES, BITS_PER_KEY, HASHES = 1 << 16, 1 << 26, 10, 7
 #: Distinct words whose ids a worker keeps; beyond that it goes back to those of its last batch. Documents encoded at a time.
 MEMO, BATCH = 800_000, 2000
+#: Most ranges that ids are dealt into, and a size that Spark gives where it doesn't know.
+MOST_RANGES, UNKNOWN = 1_000_000, 1 << 60
 MANIFEST = "part int, seq int, path string, first_key binary, last_key binary, docs long, ids long"
 
 
@@ -189,9 +193,14 @@ class Shard:
         return found
 
 
+#: What a tokenizer's file must say, so that its words are those of by_words().
+PRE_TOKENIZER = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+
+
 class WordEncoder:
     """Encodes with a byte-level Tokenizer of the tokenizers library, word by word as by_words() cuts texts; words met
-    before are looked up."""
+    before are looked up. Texts that hold an added token ("<|endoftext|>") go to the library whole. Files of another
+    pre-tokenizer, with a normalizer, or with a model other than plain BPE are refused (ValueError)."""
 
     ENDS = (".", ",")
 
@@ -200,7 +209,12 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        with open(path, encoding="utf-8") as file:
+            told = json.load(file)
+        pre, model = told.get("pre_tokenizer") or {}, told["model"]
+        if told.get("normalizer") or any(pre.get(k) != v for k, v in PRE_TOKENIZER.items()) or model.get("type", "BPE") != "BPE" or model.get("dropout") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix"):
+            raise ValueError(f"{path} is no tokenizer of byte-level BPE without prefix space and normalizer")
+        self.added = re.compile("|".join(re.escape(t["content"]) for t in told.get("added_tokens") or []) or r"(?!)")
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.model = self.tokenizer.model
         self.kind = "H" if self.width == 2 else "I"
@@ -220,7 +234,7 @@ class WordEncoder:
         memo, one, rest, kind, space = self.memo, self.model.tokenize, [], self.kind, chr(self.visible[32])
         for word in words:
             letters = word[1:] if word[:1] == " " else word
-            if not letters.isalpha() or not letters.isascii() and max(letters) >= "\u0250":
+            if self.added.search(word) or not letters.isalpha() or not letters.isascii() and max(letters) >= "\u0250":
                 rest.append(word)
                 continue
             text = letters if letters.isascii() else letters.encode().decode("latin-1").translate(self.visible)
@@ -249,7 +263,7 @@ class WordEncoder:
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        return by_words(texts, self._ids)
+        return by_words(texts, self._ids, self.added)
 
 
 @cache
@@ -261,7 +275,7 @@ def write_tokens(docs: DataFrame, uri: str, tokenizer_file: str, end_id: int, id
     """Writes the shards below uri and returns the manifest, one row per shard, itself a written table.
 
     Rows are dealt by ranges of id_col and sorted, repeats of an id by their text; null ids come first. Null text
-    is empty: its document is the end id alone. An empty table has no shards.
+    is empty: its document is the end id alone. An empty table has no shards. Identifiers are whole numbers.
     """
     docs.sparkSession.sparkContext.addFile(tokenizer_file)
     name = tokenizer_file.rsplit("/", 1)[-1]
@@ -297,7 +311,11 @@ def write_tokens(docs: DataFrame, uri: str, tokenizer_file: str, end_id: int, id
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [f.split()[0] for f in MANIFEST.split(", ")])
 
     ordered = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return written(ordered.repartitionByRange("id").sortWithinPartitions("id", "text").mapInArrow(run, MANIFEST), "manifest")
+    # as many ranges as the session shuffles into, or more where those would be larger than shards
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    usual, needed = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-size // SHARD_BYTES), MOST_RANGES)
+    ranged = ordered.repartitionByRange(needed, "id") if size < UNKNOWN and needed > usual else ordered.repartitionByRange("id")
+    return written(ranged.sortWithinPartitions("id", "text").mapInArrow(run, MANIFEST), "manifest")
 
 
 def read_tokens(manifest: DataFrame) -> DataFrame:

@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 from collections import Counter
@@ -78,6 +79,80 @@ def test_rows_and_columns_stay(frame, request, corpus):
     assert Counter((r["doc_id"], r["text"], r["source"]) for r in out.collect()) == Counter((r[0], r[1], r[3]) for r in corpus)
 
 
+def mac(kind, *parts, name="sha256"):
+    return hashlib.new(name, "\x1f".join(["key", kind, *map(str, parts), "key"]).encode()).hexdigest()
+
+
+def brute_numbers(kind, left, a, right, b):
+    for i in range(8):
+        if i % 2 == 0:
+            left = (left + int(mac(kind, i, right)[:14], 16)) % a
+        else:
+            right = (right + int(mac(kind, i, left)[:14], 16)) % b
+    return left, right
+
+
+def brute_text(kind, text):
+    half = len(text) // 2
+    sides = [text[:half], text[half:]]
+    for i in range(8):
+        stream, out = mac(kind, i, sides[1 - i % 2], name="sha512"), ""
+        for k, c in enumerate(sides[i % 2]):
+            by = int(stream[k % 32 * 4 : k % 32 * 4 + 4], 16)
+            first, n = ("0", 10) if c.isdigit() else ("a", 26) if c.islower() else ("A", 26) if c.isupper() else (c, 1)
+            out += chr((ord(c) - ord(first) + by) % n + ord(first))
+        sides[i % 2] = out
+    return "".join(sides)
+
+
+def brute_day(day):
+    start, n = date(1800, 1, 1), (day - date(1800, 1, 1)).days
+    while True:
+        left, right = brute_numbers("date", n // 773, 189, n % 773, 773)
+        n = left * 773 + right
+        if ((start + timedelta(n)).day > 12) == (day.day > 12):
+            return start + timedelta(n)
+
+
+def test_like_a_feistel_network_in_python(spark):
+    rng, expected = random.Random(9), {}
+    for _ in range(40):
+        day = date(1800, 1, 1) + timedelta(rng.randrange(146_097))
+        new = brute_day(day)
+        expected |= {day.isoformat(): new.isoformat(), f"{day:%d.%m.%Y}": f"{new:%d.%m.%Y}", f"{day:%m/%d/%Y}": f"{new:%m/%d/%Y}", f"{day:%Y-%m-%d}T10:22:00Z": f"{new:%Y-%m-%d}T10:22:00Z"}
+        if day.day > 12:
+            expected[f"{day:%d/%m/%Y}"] = f"{new:%d/%m/%Y}"
+        ip = [rng.randrange(256) for _ in range(4)]
+        left, right = brute_numbers("ip", ip[0] * 256 + ip[1], 65_536, ip[2] * 256 + ip[3], 65_536)
+        expected[".".join(map(str, ip))] = f"{left >> 8}.{left & 255}.{right >> 8}.{right & 255}"
+        area, group, serial = rng.choice([1, 665, 667, 899, rng.randrange(1, 600)]), rng.randrange(1, 100), rng.randrange(1, 10_000)
+        left, right = brute_numbers("ssn", (area - (2 if area > 666 else 1)) * 99 + group - 1, 898 * 99, serial - 1, 9999)
+        new = left // 99 + 1
+        expected[f"{area:03d}-{group:02d}-{serial:04d}"] = f"{new + (new > 665):03d}-{left % 99 + 1:02d}-{right + 1:04d}"
+        body = "".join(rng.choice("0123456789") for _ in range(15))
+        close = lambda b: b + next(c for c in "0123456789" if luhn(b + c))
+        expected[close(body)] = close(brute_text("card", body))
+        name = "".join(rng.choice("abcXYZ019._") for _ in range(rng.randrange(1, 40))).strip(".") or "a"
+        expected[f"{name}@mail.example.org"] = f"{brute_text('email', name)}@mail.example.org"
+    df = spark.createDataFrame([(k, v) for k, v in expected.items()], "text string, expected string")
+    assert [(r["text"], r["expected"]) for r in pii.pseudonymise(df, "key").collect() if r["text"] != r["expected"]] == []
+
+
+@pytest.mark.parametrize("text", ["api_key=abcdef0123456789", "api_key: 'abcdef0123456789'", "token=" + "a1" * 400 + " end", "password=" + "Ab1-" * 200 + "z", "secret = \"" + "x1" * 600 + "\""])
+def test_keys_are_replaced_to_their_end(spark, text):
+    df = spark.createDataFrame([(text,)], "text string")
+    out = pii.pseudonymise(df, "key").first()
+    assert out["n_replaced"] == 1 and shape(out["text"]).lower() == shape(text).lower() and sum(x == y for x, y in zip(out["text"], text, strict=True)) < 0.4 * len(text) + 12
+    assert pii.pseudonymise(pii.pseudonymise(df, "key", count_col=None), "key", reveal=True).first()["text"] == text
+
+
+def test_a_column_named_as_the_count_is_refused(docs):
+    with pytest.raises(ValueError):
+        pii.pseudonymise(docs.withColumn("n_replaced", docs.n_chars), "key")
+    kept = pii.pseudonymise(docs.withColumn("n_replaced", docs.n_chars).withColumn("_brindle_pii", docs.n_chars), "key", count_col="swapped")
+    assert kept.columns[-3:] == ["n_replaced", "_brindle_pii", "swapped"] and kept.filter("NOT (n_replaced <=> n_chars AND _brindle_pii <=> n_chars)").count() == 0
+
+
 def test_long_runs_are_passed_once(spark):
     texts = ["a" * 200_000, "9" * 200_000, "a." * 100_000, "1-" * 100_000, "+2 " * 60_000 + "@", "x@" * 50_000]
     df = spark.createDataFrame([(t,) for t in texts], "text string")

@@ -1,3 +1,4 @@
+import json
 import struct
 import zlib
 from collections import Counter
@@ -15,7 +16,6 @@ FILE = P.path("byte_bpe_50k.json")
 @pytest.fixture(scope="module")
 def library():
     tokenizer = Tokenizer.from_file(FILE)
-    tokenizer.encode_special_tokens = True
     return lambda text: tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
@@ -64,10 +64,25 @@ def test_many_blocks_and_varints(tmp_path):
 
 
 def test_word_by_word_is_the_library(library):
-    texts = ["a b", " a", "a ", " ", "", "a\nb c\n", "\na", "a\x1cb c", "a\0 b", "don't <|endoftext|> x", "a  b", "a \nb", "日本 é\nü"]
+    texts = ["a b", " a", "a ", " ", "", "a\nb c\n", "\na", "a\x1cb c", "a\0 b", "don't <|endoftext|> x", "end <|endoftext|> next", "<|endoftext|>", "a<|endoftext|><|endoftext|>b c", " <|endoftext|>\n<|endof text|>", "a  b", "a \nb", "日本 é\nü"]
     words = sstable.encoder(FILE)
     assert [np.frombuffer(x, f"<u{words.width}").tolist() for x in words.encode(texts)] == [library(t) for t in texts]
 
 
+def test_texts_with_added_tokens(spark, library):
+    rows = [(1, "end <|endoftext|> next"), (2, "<|endoftext|>"), (3, "plain words"), (4, "x<|endoftext|>. y")]
+    found = sstable.token_table(spark.createDataFrame(rows, "doc_id long, text string"), FILE, 2).collect()
+    assert Counter(map(tuple, found)) == Counter(expected(rows, library))
+    assert library(rows[0][1]) == [437, 220, 50256, 1306]
+
+
+@pytest.mark.parametrize("change", [{"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}}, {"pre_tokenizer": {"type": "Whitespace"}}])
+def test_other_tokenizers_are_refused(tmp_path, change):
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps({**json.loads(open(FILE).read()), **change}))
+    with pytest.raises(ValueError):
+        sstable.WordEncoder(str(path))
+
+
 def test_empty(empty):
     assert sstable.token_table(empty, FILE, 2).collect() == []
