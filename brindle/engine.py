@@ -32,7 +32,7 @@ class Engine:
         self.catalog = catalog or Catalog()
         self.cursors = CursorCodec(secret)
         self.default_locale, self.cached = default_locale, cached
-        self.cache: OrderedDict[tuple[str, str], str] = OrderedDict()
+        self.cache: OrderedDict[tuple, str] = OrderedDict()
         self.components: dict[str, Module] = {}
 
     # -- plans ------------------------------------------------------------------
@@ -82,7 +82,7 @@ class Engine:
         mean and the version of the rows."""
         query = self.parse(module, query)
         plain = not query.populate and not isinstance(query.page, ir.Keyset) and "Has" not in canonical(query.where)
-        key = (module, canonical(query))
+        key = (module, canonical(query), self.catalog.stored, self.catalog.versions.get(module))
         if plain and key in self.cache:
             self.cache.move_to_end(key)
             return self.cache[key]

@@ -179,13 +179,18 @@ class Writer:
 
     @contextlib.contextmanager
     def _commit(self, module: str):
-        """The catalog goes back to what it was if the commit fails."""
-        rows, links = dict(self.catalog.rows), dict(self.catalog.links)
+        """What others have committed is read first: a write adds to it. The body was checked by the module's definition, so
+        a definition changed meanwhile is a Conflict. The catalog goes back to what it was if the commit fails."""
+        known, before = self.catalog.module(module), None
         try:
-            with self.store.writing() as draft:
+            with self.store.writing(self.catalog) as draft:
+                before = (dict(self.catalog.rows), dict(self.catalog.links))
+                if self.catalog.modules.get(module) != known:
+                    raise ir.Conflict(f'the definition of "{module}" has changed')
                 yield draft
         except BaseException:
-            self.catalog.rows, self.catalog.links = rows, links
+            if before:
+                self.catalog.rows, self.catalog.links = before
             raise
         self.engine.changed(module)
 

@@ -12,6 +12,8 @@ from brindle.operators import stats, validate, writes
 from brindle.operators.filters import column
 from brindle.plans import ir
 from brindle.plans.build import f
+from brindle.schema import diff, migrate
+from brindle.sources import readers
 from brindle.sources.catalog import Catalog, Field, Module, Relation
 
 BIG = lambda name: Field(name, "biginteger", nullable=False)
@@ -214,10 +216,10 @@ def page_meta_total(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- populate ------------------------------------------------------------------------
 
-_page("populate_to_one", "orders", "populate=customer&filters[o_orderkey][$lt]=500", "SELECT o_orderkey, c_custkey AS customer_id, c_name AS customer_name FROM orders LEFT JOIN customer ON c_custkey = o_custkey WHERE o_orderkey < 500", "o_orderkey; customer.c_custkey AS customer_id; customer.c_name AS customer_name")
-_page("populate_to_many", "part", "populate=suppliers&filters[p_partkey][$lt]=200", "SELECT p_partkey, coalesce(string_agg(CAST(s AS VARCHAR), ',' ORDER BY s), '') AS suppliers FROM part LEFT JOIN (SELECT DISTINCT l_partkey, l_suppkey AS s FROM lineitem) ON l_partkey = p_partkey WHERE p_partkey < 200 GROUP BY p_partkey", "p_partkey; array_join(transform(suppliers, s -> cast(s.s_suppkey AS string)), ',') AS suppliers")
-_page("populate_inverse", "customer", "populate=orders&filters[c_custkey][$lt]=100", "SELECT c_custkey, count(o_orderkey) AS n, coalesce(sum(o_orderkey), 0)::BIGINT AS keys FROM customer LEFT JOIN orders ON o_custkey = c_custkey WHERE c_custkey < 100 GROUP BY c_custkey", "c_custkey; cast(size(orders) AS bigint) AS n; aggregate(orders, 0L, (a, o) -> a + o.o_orderkey) AS keys")
-_page("populate_nested2", "orders", "populate[customer][populate]=nation&filters[o_orderkey][$lt]=500", "SELECT o_orderkey, n_name FROM orders LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN nation ON n_nationkey = c_nationkey WHERE o_orderkey < 500", "o_orderkey; customer.nation.n_name AS n_name")
+_page("populate_to_one", "orders", "populate=customer", "SELECT o_orderkey, c_custkey AS customer_id, c_name AS customer_name FROM orders LEFT JOIN customer ON c_custkey = o_custkey", "o_orderkey; customer.c_custkey AS customer_id; customer.c_name AS customer_name")
+_page("populate_to_many", "part", "populate=suppliers", "SELECT p_partkey, coalesce(string_agg(CAST(s AS VARCHAR), ',' ORDER BY s), '') AS suppliers FROM part LEFT JOIN (SELECT DISTINCT l_partkey, l_suppkey AS s FROM lineitem) ON l_partkey = p_partkey GROUP BY p_partkey", "p_partkey; array_join(transform(suppliers, s -> cast(s.s_suppkey AS string)), ',') AS suppliers")
+_page("populate_inverse", "customer", "populate=orders", "SELECT c_custkey, count(o_orderkey) AS n, coalesce(sum(o_orderkey), 0)::BIGINT AS keys FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey", "c_custkey; cast(size(orders) AS bigint) AS n; aggregate(orders, 0L, (a, o) -> a + o.o_orderkey) AS keys")
+_page("populate_nested2", "orders", "populate[customer][populate]=nation", "SELECT o_orderkey, n_name FROM orders LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN nation ON n_nationkey = c_nationkey", "o_orderkey; customer.nation.n_name AS n_name")
 _page("populate_star", "nation", "populate=*", "SELECT n_nationkey, r_name, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS customers, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS suppliers FROM nation LEFT JOIN region ON r_regionkey = n_regionkey", "n_nationkey; region.r_name AS r_name; cast(size(customers) AS bigint) AS customers; cast(size(suppliers) AS bigint) AS suppliers")
 _page("populate_missing_side", "documents", "populate=label&fields=lang", "SELECT documents.doc_id AS doc_id, quality FROM documents LEFT JOIN labels ON labels.doc_id = documents.doc_id", "doc_id; label.quality AS quality")
 
@@ -359,3 +361,180 @@ def bulk_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_registered("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey = 33")
 def point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine(spark, sf_dir).matching("orders", ir.Query(where=ir.Leaf("o_orderkey", "eq", 33))).limit(1).select(column("o_orderkey"), column("o_totalprice"))
+
+
+# -- answers on the wire ---------------------------------------------------------------------
+
+
+def _answered(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
+    """Rows of an answer, which is a page, as a DataFrame."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    return spark.createDataFrame([tuple(r[n] for n in names) for r in rows], schema)
+
+
+@_registered(f"SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderstatus, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%gZ') AS o_orderdate, CAST(price AS VARCHAR) AS price FROM {ORDERS} ORDER BY o_totalprice DESC LIMIT 40")
+def list_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """64-bit numbers and decimals as text, instants in ISO form."""
+    import json
+
+    data = json.loads(engine(spark, sf_dir).list("orders", "sort=o_totalprice:desc&pagination[limit]=40"))["data"]
+    return _answered(spark, data, "o_orderkey string, o_orderstatus string, o_orderdate string, price string")
+
+
+_GATED = f"SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderstatus FROM {ORDERS} WHERE o_orderkey IN (1, 2, 3, 4, 5, 6, 7, 32, 33, 34, 99999999) AND published_at IS"
+
+
+def _singles(spark: SparkSession, sf_dir: str, query: str) -> DataFrame:
+    import json
+
+    e = engine(spark, sf_dir)
+    found = [e.find_one_or_none("posts", i, query) for i in (1, 2, 3, 4, 5, 6, 7, 32, 33, 34, 99999999)]
+    return _answered(spark, [json.loads(x)["data"] for x in found if x], "o_orderkey string, o_orderstatus string")
+
+
+@_registered(f"{_GATED} NOT NULL")
+def single_published(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _singles(spark, sf_dir, "")
+
+
+@_registered(f"{_GATED} NULL")
+def single_draft(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _singles(spark, sf_dir, "status=draft")
+
+
+@_registered(f"SELECT 70 AS \"pageSize\", count(*) > 70 AS \"hasNextPage\", FALSE AS \"hasPreviousPage\", CAST(count(*) AS INTEGER) AS total, CAST(ceil(count(*) / 70.0) AS INTEGER) AS \"pageCount\" FROM {CUSTOMER} WHERE tier > 1")
+def keyset_meta_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import json
+
+    meta = json.loads(engine(spark, sf_dir).list("customer", "filters[tier][$gt]=1&sort=bal:desc&pagination[cursor]=&pagination[pageSize]=70&pagination[withCount]=true"))["meta"]["pagination"]
+    return _answered(spark, [meta], "pageSize int, hasNextPage boolean, hasPreviousPage boolean, total int, pageCount int")
+
+
+@_registered("SELECT n_nationkey, n_name FROM nation WHERE n_regionkey > 0")
+def iterate_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _answered(spark, list(engine(spark, sf_dir).list_all("nation", {"filters": {"n_regionkey": {"$gt": 0}}}, 7)), "n_nationkey int, n_name string")
+
+
+@_registered("SELECT n_nationkey, n_name FROM nation")
+def iterate_keyset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _answered(spark, list(engine(spark, sf_dir).list_all_keyset("nation", {"sort": "n_name:desc"}, 6)), "n_nationkey int, n_name string")
+
+
+@_registered("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN s_name END AS pick, p_name AS title FROM part LEFT JOIN supplier ON s_suppkey = p_partkey ORDER BY p_partkey LIMIT 60")
+def component_populate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A component that names a supplier, one in two that aren't there."""
+    import json
+
+    e = engine(spark, sf_dir)
+    seo = F.expr("to_json(struct(p_name AS title, IF(p_partkey % 2 = 0, p_partkey, 10000000 + p_partkey) AS pick))")
+    rows = e.catalog.rows["part"].select("p_partkey", seo.alias("seo"))
+    e.components["seo"] = Module("seo", (Field("title"),), (Relation("pick", "supplier", column=None),), bare=True)
+    e.catalog.register(Module("catalogue", (Field("seo", "component", components=("seo",)),), id_field=BIG("p_partkey"), bare=True), rows)
+    data = json.loads(e.list("catalogue", "populate=seo&pagination[limit]=60"))["data"]
+    return spark.createDataFrame([(int(d["p_partkey"]), (d["seo"]["pick"] or {}).get("s_name"), d["seo"]["title"]) for d in data], "p_partkey long, pick string, title string")
+
+
+# -- folding beyond ASCII ----------------------------------------------------------------------
+
+_WIDE = "CASE c_custkey % 4 WHEN 0 THEN '\ufb01sh' WHEN 1 THEN '\uff26\uff29\uff33\uff28' WHEN 2 THEN 'E\u0301t\u00e9' ELSE c_name END"
+_NARROW = "CASE c_custkey % 4 WHEN 0 THEN 'fish' WHEN 1 THEN 'fish' WHEN 2 THEN '\u00e9t\u00e9' ELSE lower(c_name) END"
+
+
+def _folding(name: str, condition, sql: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        e = engine(spark, sf_dir)
+        e.catalog.register(Module("wide", (Field("word"),), id_field=BIG("c_custkey"), bare=True), e.catalog.rows["customer"].selectExpr("c_custkey", f"{_WIDE} AS word"))
+        return e.frame("wide", {"filters": condition.tree})
+
+    QUERIES[name], ORACLES[name] = run, f"SELECT c_custkey, {_WIDE} AS word FROM customer WHERE {sql}"
+
+
+_folding("fold_eqi", f("word").eqi("FISH"), f"{_NARROW} = 'fish'")
+_folding("fold_nei", f("word").nei("\u00c9T\u00c9"), f"{_NARROW} <> '\u00e9t\u00e9'")
+_folding("fold_containsi", f("word").containsi("\uff29S"), f"contains({_NARROW}, 'is')")
+_folding("fold_not_containsi", f("word").not_containsi("T\u00c9"), f"NOT contains({_NARROW}, 't\u00e9')")
+_folding("fold_starts_withi", f("word").starts_withi("\ufb01"), f"starts_with({_NARROW}, 'fi')")
+_folding("fold_ends_withi", f("word").ends_withi("E\u0301"), f"ends_with({_NARROW}, '\u00e9')")
+_where("fold_accents", "documents", f("text").containsi("CI\u00d3N"), "contains(lower(text), 'ci\u00f3n')", "doc_id,lang")
+
+# -- loading and definitions that change -----------------------------------------------------------
+
+
+def _edges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = _rows(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("owner_id"), F.expr("o_custkey * 2").alias("related_id"))
+    return readers.links(rows, _rows(spark, sf_dir, "orders"), "o_orderkey", _rows(spark, sf_dir, "customer"), "c_custkey")
+
+
+@_registered("SELECT o_orderkey AS id, o_orderkey AS owner_id, o_custkey * 2 AS related_id FROM orders WHERE o_custkey * 2 IN (SELECT c_custkey FROM customer)")
+def links_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _edges(spark, sf_dir)[0]
+
+
+@_registered("SELECT o_orderkey AS id, o_orderkey AS owner_id, o_custkey * 2 AS related_id FROM orders WHERE o_custkey * 2 NOT IN (SELECT c_custkey FROM customer)")
+def links_dangling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _edges(spark, sf_dir)[1]
+
+
+@_registered("SELECT event_id, date_trunc('millisecond', ts) AS ts, CAST(user_id AS VARCHAR) AS who, CAST(value AS DECIMAL(10,1)) AS value FROM events")
+def coerced_on_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = Module("events", (Field("ts", "datetime"), Field("who"), Field("value", "decimal", precision=10, scale=1)), id_field=BIG("event_id"), bare=True)
+    return readers.coerced(_rows(spark, sf_dir, "events").withColumnRenamed("user_id", "who"), target)
+
+
+_OLD = Module("orders", (Field("o_custkey", "biginteger", id="a"), Field("o_orderstatus", id="b"), Field("o_totalprice", "float", id="c"), Field("o_orderdate", "datetime", id="d"), Field("o_orderpriority", id="e")), id_field=BIG("o_orderkey"), bare=True)
+
+
+@_registered("SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS o_orderstatus, o_orderstatus AS o_custkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%gZ') AS placed, 7 AS rank FROM orders")
+def migrate_reshaped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two fields swap their names, one of them and another change type, two go, one comes with its default."""
+    new = Module("orders", (Field("o_orderstatus", id="a"), Field("o_custkey", id="b"), Field("placed", id="d"), Field("rank", "integer", default=7, id="f")), id_field=BIG("o_orderkey"), bare=True)
+    return migrate.reshaped(_rows(spark, sf_dir, "orders"), _OLD, new)
+
+
+@_registered("SELECT * FROM (VALUES ('addField', 'orders', 'rank'), ('dropField', 'orders', 'o_orderpriority'), ('dropField', 'orders', 'o_totalprice'), ('renameField', 'orders', 'o_custkey'), ('renameField', 'orders', 'o_orderstatus'), ('renameField', 'orders', 'placed')) t(kind, module, name)")
+def migrate_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the differ finds, by identity: names may swap. Order and types, which migrate_reshaped covers, aside."""
+    new = Module("orders", (Field("o_orderstatus", "biginteger", id="a"), Field("o_custkey", id="b"), Field("placed", "datetime", id="d"), Field("rank", "integer", id="f")), id_field=BIG("o_orderkey"), bare=True)
+    found = [(c.kind, c.module, c.name) for c in migrate.plan(Catalog({"orders": _OLD}), [new], allow_destructive=True) if c.kind != "reorderFields"]
+    return spark.createDataFrame(found, "kind string, module string, name string")
+
+
+@_registered(f"SELECT (SELECT count(*) FROM {CUSTOMER} WHERE bal IS NULL) AS required, (SELECT count(*) FROM {CUSTOMER} WHERE length(c_name) > 17) AS shorter, (SELECT count(*) FROM {CUSTOMER} WHERE bal <> round(bal)) AS whole")
+def migrate_obstacles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that stand against a field that becomes required, one that gets shorter and one that loses its fraction."""
+    rows = engine(spark, sf_dir).catalog.rows["customer"]
+    change = lambda kind, old, new: diff.Change(kind, "customer", diff.DATA, new.name, old, new)
+    bal = Field("bal", "float")
+    found = (
+        migrate.obstacles(rows, change("setFieldNullable", bal, Field("bal", "float", nullable=False))),
+        migrate.obstacles(rows, change("retypeField", Field("c_name"), Field("c_name", length=17))),
+        migrate.obstacles(rows, change("retypeField", bal, Field("bal", "biginteger"))),
+    )
+    return spark.createDataFrame([found], "required long, shorter long, whole long")
+
+
+@_registered("SELECT o_orderkey, CASE WHEN o_orderkey IN (1, 2, 3) THEN TIMESTAMP '2024-05-01 10:00:00' WHEN o_orderstatus = 'O' THEN NULL ELSE o_orderdate END AS published_at FROM orders")
+def publish(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from datetime import datetime
+
+    rows = engine(spark, sf_dir).catalog.rows["posts"]
+    return writes.updated(rows, "o_orderkey", [1, 2, 3], {"published_at": datetime(2024, 5, 1, 10)}).select("o_orderkey", "published_at")
+
+
+@_registered(f"SELECT * FROM ({_LINKS}) WHERE related_id <> 3 UNION ALL SELECT * FROM (VALUES (5, 3), (9, 3)) t(owner_id, related_id)")
+def relation_set_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same links, written from their other end."""
+    e = engine(spark, sf_dir)
+    return writes.relinked(e.catalog.links["part.suppliers"], e.catalog.sides("supplier")["parts"], 3, {"set": [9, 5]}).select("owner_id", "related_id")
+
+
+@_registered("SELECT p_partkey, p_name FROM part ORDER BY p_partkey LIMIT 30 OFFSET 20")
+def inspect_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = engine(spark, sf_dir)
+    return stats.window(e.catalog.rows["part"], e.catalog.module("part"), 20, 30).select("p_partkey", "p_name")
+
+
+@_registered(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", CAST(min({c}) AS VARCHAR) AS least, CAST(max({c}) AS VARCHAR) AS greatest FROM part" for c in ("p_partkey", "p_name", "p_brand", "p_size")))
+def inspect_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = engine(spark, sf_dir)
+    return stats.inspect(e.catalog.rows["part"], e.catalog.module("part")).filter(F.col("column").isin("p_partkey", "p_name", "p_brand", "p_size")).select("column", "least", "greatest")

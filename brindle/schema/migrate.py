@@ -71,20 +71,21 @@ def migrate(store: Store, catalog: Catalog, new: Iterable[Module], allow_destruc
     """Brings store and catalog to the new modules, in one commit. Nothing to change writes nothing. expected_version is
     the manifest's as the caller knew it: another one refuses."""
     new = [m.checked() for m in new]
-    changes = plan(catalog, new, allow_destructive)
-    if expected_version is not None and expected_version != store.manifest["version"]:
-        raise Refused(f"version {expected_version} is not the current one")
-    if not changes:
-        return changes
-    by_id = {m.id or m.name: m for m in catalog.modules.values()}
-    for change in changes:
-        if change.risk == DATA:
-            old = by_id[next(m.id or m.name for m in new if m.name == change.module)]
-            if n := obstacles(catalog.rows[old.name], change):
-                raise Refused(f"{change.kind} {change.module}.{change.name}: {n} rows stand against it")
-    touched = {c.module for c in changes if c.risk in (SAFE, DATA, DESTRUCTIVE)}
     spark, kept = store.spark, {m.id or m.name for m in new}
-    with store.writing() as draft:
+    with store.writing(catalog) as draft:
+        # nobody else writes from here on: what the checks find still holds at the commit
+        changes = plan(catalog, new, allow_destructive)
+        if expected_version is not None and expected_version != store.manifest["version"]:
+            raise Refused(f"version {expected_version} is not the current one")
+        if not changes:
+            return changes
+        by_id = {m.id or m.name: m for m in catalog.modules.values()}
+        for change in changes:
+            if change.risk == DATA:
+                old = by_id[next(m.id or m.name for m in new if m.name == change.module)]
+                if n := obstacles(catalog.rows[old.name], change):
+                    raise Refused(f"{change.kind} {change.module}.{change.name}: {n} rows stand against it")
+        touched = {c.module for c in changes if c.risk in (SAFE, DATA, DESTRUCTIVE)}
         before = (dict(catalog.modules), dict(catalog.rows), dict(catalog.links), dict(catalog.versions))
         try:
             for name in [m.name for k, m in by_id.items() if k not in kept]:

@@ -158,13 +158,19 @@ class Module:
 
 @dataclass
 class Catalog:
-    """Modules and the DataFrames of their rows and links. versions rise where a module's columns change."""
+    """Modules and the DataFrames of their rows and links. versions rise where a module's columns change; stored is the
+    version of the manifest that the rows are from."""
 
     modules: dict[str, Module] = field(default_factory=dict)
     rows: dict[str, DataFrame] = field(default_factory=dict)
     links: dict[str, DataFrame] = field(default_factory=dict)
     versions: dict[str, int] = field(default_factory=dict)
     files: DataFrame | None = None
+    stored: int = 0
+
+    def become(self, other: Catalog) -> None:
+        """Takes over all that the other holds."""
+        self.__dict__.update(vars(other))
 
     def register(self, module: Module, rows: DataFrame, links: dict[str, DataFrame] | None = None) -> Module:
         """links: a DataFrame of id, owner_id, related_id by relation name."""

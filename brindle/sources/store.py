@@ -1,13 +1,15 @@
 """Snapshots of modules as Parquet folders, with writes as new versions.
 
 Every commit writes whole new folders for what it touches, then a manifest that names the current folders, by a
-rename: readers see the state before or after, never between. One writer at a time holds a lock file. The file
+rename: readers see the state before or after, never between. One writer at a time holds a lock file that names it; a
+lock older than LEASE is taken to be of a writer that died, and one whose lock was taken may not commit. The file
 system is Hadoop's, so that any store that Spark reads will do.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from contextlib import contextmanager
 from typing import Any
@@ -18,6 +20,10 @@ from brindle.plans.ir import Conflict
 from brindle.sources.catalog import Catalog, Field, Module, Relation
 
 
+#: Seconds after which a lock no longer counts.
+LEASE = 3600
+
+
 class Files:
     """The few file operations that a manifest needs."""
 
@@ -54,17 +60,24 @@ class Files:
         options[0] = getattr(self.jvm, "org.apache.hadoop.fs.Options$Rename").OVERWRITE
         context.rename(path, final, options)
 
-    def create(self, name: str) -> bool:
+    def create(self, name: str, text: str = "") -> bool:
         """False if it is there already."""
         path, fs = self._at(name)
         try:
-            fs.create(path, False).close()
+            stream = fs.create(path, False)
+            stream.write(bytearray(text.encode()))
+            stream.close()
         except Exception as e:  # the file system's own class says what was wrong
             if "AlreadyExists" in str(e):
                 return False
             raise
         return True
 
+    def age(self, name: str) -> float:
+        """Seconds since it was written."""
+        path, fs = self._at(name)
+        return time.time() - fs.getFileStatus(path).getModificationTime() / 1000
+
     def delete(self, name: str) -> None:
         path, fs = self._at(name)
         fs.delete(path, True)
@@ -83,8 +96,8 @@ def module_of(data: dict[str, Any]) -> Module:
 class Store:
     """A catalog kept in a folder."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.files = spark, Files(spark, root)
+    def __init__(self, spark: SparkSession, root: str, lease: float = LEASE):
+        self.spark, self.files, self.lease = spark, Files(spark, root), lease
         self.manifest: dict[str, Any] = json.loads(self.files.read("manifest.json")) if self.files.exists("manifest.json") else {"version": 0, "modules": {}, "rows": {}, "links": {}, "versions": {}, "ids": {}}
 
     def load(self) -> Catalog:
@@ -94,7 +107,7 @@ class Store:
             module = module_of(data)
             links = {r.name: self._read(self.manifest["links"][f"{name}.{r.name}"]) for r in module.relations if f"{name}.{r.name}" in self.manifest["links"]}
             catalog.register(module, self._read(self.manifest["rows"][name]), links)
-        catalog.versions = dict(self.manifest["versions"])
+        catalog.versions, catalog.stored = dict(self.manifest["versions"]), self.manifest["version"]
         if "files" in self.manifest["rows"]:
             catalog.files = self._read(self.manifest["rows"]["files"])
         return catalog
@@ -110,22 +123,54 @@ class Store:
         df.write.parquet(f"{self.files.root}/{folder}")
         return folder, self._read(folder)
 
-    @contextmanager
-    def writing(self):
-        """The one writer's turn. The manifest is read anew, changed by the caller and renamed into place at the end; an
-        error leaves all as it was."""
-        if not self.files.create("lock"):
+    def current(self) -> dict[str, Any]:
+        """The manifest as it is now in the folder."""
+        if self.files.exists("manifest.json"):
+            self.manifest = json.loads(self.files.read("manifest.json"))
+        return self.manifest
+
+    def refresh(self, catalog: Catalog) -> None:
+        """Brings a catalog to the manifest last read, if others have written since it was loaded."""
+        if catalog.stored != self.manifest["version"]:
+            catalog.become(self.load())
+
+    def _lock(self, token: str) -> None:
+        if self.files.create("lock", token):
+            return
+        try:
+            old = self.files.age("lock") > self.lease
+        except Exception:  # it has just gone
+            old = False
+        if old:
+            self.files.delete("lock")
+        if not old or not self.files.create("lock", token):
             raise Conflict("another write is under way")
+
+    def _holds(self, token: str) -> bool:
+        return self.files.exists("lock") and self.files.read("lock") == token
+
+    @contextmanager
+    def writing(self, catalog: Catalog | None = None):
+        """The one writer's turn. The manifest is read anew, and the catalog brought to it; the draft is changed by the
+        caller and renamed into place at the end, if it was changed. An error leaves all as it was."""
+        token = f"{uuid.uuid4().hex} {time.time():.0f}"
+        self._lock(token)
         try:
-            if self.files.exists("manifest.json"):
-                self.manifest = json.loads(self.files.read("manifest.json"))
-            draft = json.loads(json.dumps(self.manifest))
+            draft = json.loads(json.dumps(self.current()))
+            if catalog is not None:
+                self.refresh(catalog)
             yield draft
-            draft["version"] += 1
-            self.files.write("manifest.json", json.dumps(draft))
-            self.manifest = draft
+            if draft != self.manifest:
+                draft["version"] += 1
+                if not self._holds(token):
+                    raise Conflict("the lock was taken by another writer")
+                self.files.write("manifest.json", json.dumps(draft))
+                self.manifest = draft
+                if catalog is not None:
+                    catalog.stored = draft["version"]
         finally:
-            self.files.delete("lock")
+            if self._holds(token):
+                self.files.delete("lock")
 
     def vacuum(self) -> list[str]:
         """Deletes folders that the manifest doesn't name; call it when no reader is left on an older version."""

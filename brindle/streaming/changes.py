@@ -21,21 +21,21 @@ def newest(changes: DataFrame, key: str, order: str) -> DataFrame:
 
 def follow(changes: DataFrame, store: Store, engine: Engine, module: str, checkpoint: str, order: str = "updated_at", rejected: str | None = None) -> StreamingQuery:
     """Starts a query that keeps the module up to date. Each batch is one commit; a batch that Spark repeats after a
-    failure leaves the rows as they are, for its number is in the manifest. Rows that break the module's rules are
-    appended to the folder rejected, if there is one, with what is wrong."""
+    failure leaves the rows as they are, for its number is in the manifest. Rows that break the module's rules go, before the
+    commit, to the folder rejected, if there is one, with what is wrong: a folder batch=number for each batch."""
 
     def batch(rows: DataFrame, number: int) -> None:
         own = engine.catalog.module(module)
         good, bad = split_valid(rows, own)
-        with store.writing() as draft:
+        if rejected:
+            bad.write.mode("overwrite").parquet(f"{rejected}/batch={number}")
+        with store.writing(engine.catalog) as draft:
             done = draft.setdefault("batches", {})
             if done.get(module, -1) >= number:
                 return
             new = newest(good, own.id_field.name, order).select(*(column(f.name) for f in own.columns()))
             draft["rows"][module], engine.catalog.rows[module] = store.put(module, merged(engine.catalog.rows[module], new, own.id_field.name))
             done[module] = number
-        if rejected:
-            bad.withColumn("batch", F.lit(number)).write.mode("append").parquet(rejected)
         engine.changed(module)
 
     return changes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -9,9 +9,11 @@ from decimal import Decimal
 import pytest
 from brindle.engine import Engine
 from brindle.functions import values as V
+from brindle.functions.columns import folded
 from brindle.operators.filters import Filters
 from brindle.plans import ir
 from brindle.sources.catalog import Catalog, Field, Module, Relation
+from pyspark.sql import functions as F
 
 FIELDS = (Field("n", "integer"), Field("x", "float"), Field("ok", "boolean"), Field("s", "string"), Field("t", "text"), Field("big", "biginteger"), Field("price", "decimal", precision=12, scale=2), Field("at", "datetime"), Field("meta", "json"))
 TEXTS = ["", "a", "A", "ß", "ss", "é", "é", "ﬁsh", "FISH", "Ａb", "😀", "zebra", "%_", "a\\b"]
@@ -243,3 +245,10 @@ def test_plans_push_down_and_prune(engine, spark, tmp_path):
     plan = Engine(catalog).frame("article", "filters[n]=1&filters[s][$contains]=a&fields=n&sort=x:desc&pagination[limit]=5")._jdf.queryExecution().toString()
     assert "EqualTo(n,1)" in plan and "StringContains(s,a)" in plan and "TakeOrderedAndProject" in plan
     assert "price" not in plan.split("ReadSchema: ")[1].split("\n")[0]
+
+
+def test_folding_is_nfkc_then_lower_case_for_every_character(spark):
+    texts = [chr(c) for c in range(1, 0x10000) if not 0xD800 <= c < 0xE000] + ["\U0001d400x", "e\u0301", "\ufb01sh", "\uff21\uff22", "stra\u00dfe", "\u03a3\u03a3", "\u0130x", "\u1112\u1161\u11ab", "\u00c9t\u00c9", "\u4e2d\u6587", "", "Plain"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", folded(F.col("t")).alias("f")).collect()
+    wrong = [(texts[r["i"]], r["f"]) for r in rows if r["f"] != V.fold(texts[r["i"]])]
+    assert wrong == []

@@ -1,6 +1,7 @@
 """Writes, schema changes, the change stream and readers, on folders of their own."""
 
 import json
+from dataclasses import replace
 from datetime import UTC, datetime
 from decimal import Decimal
 
@@ -10,6 +11,7 @@ from brindle.operators import stats
 from brindle.operators.validate import BodyError, split_valid
 from brindle.operators.writes import ConstraintError, Writer
 from brindle.plans import ir
+from brindle.plans.ir import Conflict
 from brindle.schema.diff import DATA, DESTRUCTIVE, FORBIDDEN, SAFE, diff
 from brindle.schema.migrate import Refused, migrate
 from brindle.sources import readers
@@ -209,3 +211,53 @@ def test_inspection(spark):
     assert (found["s"]["nulls"], found["s"]["distinct"], found["id"]["greatest"]) == (1, 1, "3")
     assert [r["id"] for r in stats.window(rows, module, 1, 1).collect()] == [2]
     assert {r["module"]: r["rows"] for r in stats.counts(catalog).collect()} == {"m": 3}
+
+
+def another(writer):
+    store = Store(writer.store.spark, writer.store.files.root)
+    return Writer(store, Engine(store.load(), "k"), lambda: NOW)
+
+
+def test_two_writers_lose_no_rows(writer):
+    second, third = another(writer), another(writer)
+    assert data(writer.create("author", {"name": "one"}))["id"] == 1
+    assert data(second.create("author", {"name": "two"}))["id"] == 2
+    assert data(third.create("author", {"name": "three"}))["id"] == 3
+    second.update("author", 3, {"name": "drei"})
+    assert sorted((r["id"], r["name"]) for r in another(writer).catalog.rows["author"].collect()) == [(1, "one"), (2, "two"), (3, "drei")]
+    with pytest.raises(ConstraintError):
+        writer.create("author", {"name": "drei"})  # another's row counts
+
+
+def test_a_changed_definition_stops_a_writer_that_has_not_seen_it(writer):
+    second = another(writer)
+    migrate(writer.store, writer.catalog, [replace(AUTHOR, fields=(*AUTHOR.fields, Field("age", "integer"))), ARTICLE])
+    with pytest.raises(Conflict):
+        second.create("author", {"name": "x"})
+    assert data(second.create("author", {"name": "x", "age": 3}))["age"] == 3  # it has seen it now
+
+
+def test_answers_follow_a_migration(writer):
+    writer.create("author", {"name": "one"})
+    before = json.loads(writer.engine.list("author"))["data"]
+    migrate(writer.store, writer.catalog, [replace(AUTHOR, fields=(*AUTHOR.fields, Field("age", "integer", default=4))), ARTICLE])
+    after = json.loads(writer.engine.list("author"))["data"]
+    assert "age" not in before[0] and after[0]["age"] == 4
+
+
+def test_locks_end(writer):
+    assert writer.store.files.create("lock", "dead")
+    with pytest.raises(Conflict):
+        writer.create("author", {"name": "one"})
+    writer.store.lease = -1
+    assert data(writer.create("author", {"name": "one"}))["id"] == 1 and not writer.store.files.exists("lock")
+    version = writer.store.manifest["version"]
+    with pytest.raises(Conflict), writer.store.writing(writer.catalog) as draft:
+        draft["ids"]["author"] = 99
+        writer.store.files.delete("lock")
+        writer.store.files.create("lock", "another")
+    assert writer.store.current()["version"] == version and writer.store.files.read("lock") == "another"
+    writer.store.files.delete("lock")
+    with writer.store.writing(writer.catalog):
+        pass
+    assert writer.store.current()["version"] == version  # nothing changed, nothing written
