@@ -47,7 +47,7 @@ def written(df: DataFrame, name: str, release: bool = False) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     schema = df.schema
     del df
     if release:

@@ -3,7 +3,8 @@
 The words of each source, in a pseudorandom order of its documents, are packed into blocks of fixed length. The
 output is a row of shards of slots. For every shard a multinomial draw says how many slots each source gets; a
 source's slots, numbered through all shards, are mapped through a pseudorandom permutation of its block numbers,
-another for each pass over the source, and blocks are joined by number.
+another for each pass over the source, and blocks are joined by number. What comes out are spans of documents, slot
+by slot (mix), the texts of the slots (packed), or documents with the words that the mix takes of them.
 
 The draw leaves little to chance: a source's whole part of its expected slots in a shard is given outright and the
 multinomial draws the slots that remain (residual sampling), which keeps every expectation and cuts the variance.
@@ -14,11 +15,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.common import WORD, written
+from brindle.llm.common import SPACES, WORD, forget, written
 
-BLOCK, SHARD, SEED, LIMIT = 32, 1024, 20_240_229, 3
-#: Slots that a task maps through the permutations.
-TASK = 50_000
+SHARD, SEED, LIMIT = 1024, 20_240_229, 3
+#: Words a block, at least and at most, and the slots that there are before blocks grow.
+BLOCKS, SLOTS = (32, 4096), 1 << 20
+#: Slots that a task maps through the permutations, and the most tasks.
+TASK, TASKS = 50_000, 50_000
 #: Rounds of the Feistel permutation of block numbers, and the most steps of its walk.
 ROUNDS, STEPS = 4, 40
 
@@ -91,8 +94,27 @@ def pieces(docs: DataFrame, seed: int = SEED) -> DataFrame:
     return within.join(starts, ["number", "bucket"]).select("row", "number", "size", (F.col("first") + F.col("within")).alias("start"))
 
 
-def slots(shares: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = SEED, limit: int = LIMIT) -> DataFrame:
-    """shares: number, source_size, target. The output's slots: shard, number, block; a row per slot.
+def block_for(total: int) -> int:
+    """Words a block for a mix of total words: a power of two that leaves about SLOTS slots or, from 4 billion words on,
+    the most words a block."""
+    return min(BLOCKS[1], max(BLOCKS[0], 1 << max(0, (int(total) // SLOTS).bit_length() - 1)))
+
+
+def _before(rows: DataFrame, keys: str, order: str, per: int, value: str, name: str) -> DataFrame:
+    """rows with the sum of value over the rows before, by order (whole numbers from 0) among those of equal keys: within buckets of
+    `per` numbers, then over the buckets, so that no window holds more than about the root of all."""
+    dealt = rows.withColumn("_bucket", F.floor(F.col(order) / F.lit(per)).cast("long"))
+    inside = Window.partitionBy(keys, "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    over = Window.partitionBy(keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = dealt.groupBy(keys, "_bucket").agg(F.sum(value).alias("_sum"))
+    sums = sums.select(keys, "_bucket", F.coalesce(F.sum("_sum").over(over), F.lit(0)).alias("_base"))
+    within = dealt.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    return within.join(sums, [keys, "_bucket"]).withColumn(name, F.col("_base") + F.col("_inside")).drop("_bucket", "_inside", "_base")
+
+
+def slots(shares: DataFrame, block: int, shard: int = SHARD, seed: int = SEED, limit: int = LIMIT) -> DataFrame:
+    """shares: number, source_size, target. The output's slots, a row each: shard, place (slots of a shard are in its
+    order), number, pass, block.
 
     A shard's draws agree in any run: they are hashes of the seed, the shard and the throw.
     """
@@ -121,44 +143,107 @@ def slots(shares: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int =
     cells = lines.filter("high > low").withColumn("cell", F.explode(F.sequence(F.floor("low").cast("long"), F.floor("high").cast("long"))))
     drawn = throws.join(cells, ["last", "cell"]).filter("at >= low AND at < high").select("shard", "number", "blocks", F.lit(1).cast("long").alias("count"))
     counts = given.unionByName(drawn).groupBy("number", "shard").agg(F.sum("count").alias("count"), F.first("blocks").alias("blocks"))
-    before = Window.partitionBy("number").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    numbered = counts.withColumn("first", F.coalesce(F.sum("count").over(before), F.lit(0)))
+    per = max(1, int(shards**0.5))
+    numbered = _before(counts, "number", "shard", per, "count", "first")
     # slots are few bytes each but take a walk each: they are dealt out by their number, not by their size
-    spread = numbered.repartition(max(1, -(-n // TASK)), "number", "shard")
+    spread = numbered.repartition(min(TASKS, max(1, -(-n // TASK))), "number", "shard")
     taken = spread.withColumn("slot", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("count") - 1)))
     taken = taken.filter(F.col("slot") < F.col("blocks") * F.lit(limit))  # so that no document is taken more than limit times
-    taken = taken.withColumn("pass", F.floor(F.col("slot") / F.col("blocks")).cast("long")).withColumn("index", F.pmod("slot", "blocks"))
-    return taken.select("shard", "number", permuted(F.col("index"), F.col("blocks"), F.lit(seed), F.col("number"), F.col("pass")).alias("block"))
+    taken = taken.withColumn("pass", F.floor(F.col("slot") / F.col("blocks")).cast("int")).withColumn("index", F.pmod("slot", "blocks"))
+    place = F.xxhash64(F.lit(seed), "number", "slot").alias("place")
+    return taken.select("shard", place, "number", "pass", permuted(F.col("index"), F.col("blocks"), F.lit(seed), F.col("number"), F.col("pass")).alias("block"))
+
+
+class Mix:
+    """The mix of docs, as tables: sources (source, number, source_size, target), documents (row, id, number, size) and
+    spans(), a row per slot and document in it."""
+
+    def __init__(self, docs: DataFrame, row: Column, id_col: str, text_col: str, source_col: str, weights: tuple[float, ...], block: int | None, shard: int, seed: int, limit: int):
+        sized = written(docs.select(row.alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), words_in(F.col(text_col)).alias("size")), "sizes")
+        self.sources = written(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, limit), "targets")
+        of_source = self.sources.select(F.col("source").alias("_source"), "number")
+        self.documents = written(sized.join(of_source, F.col("source").eqNullSafe(F.col("_source"))).select("row", "id", "number", "size"), "documents")
+        forget(sized)
+        self.block = block or block_for(self.sources.agg(F.sum("source_size")).first()[0] or 0)
+        self.shard, self.seed, self.limit = shard, seed, limit
+
+    def pieces(self) -> DataFrame:
+        """row, number, block, offset (of the piece in its block), skip (words of the document before it), words: what
+        blocks consist of."""
+        block = F.lit(self.block)
+        first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)
+        cut = pieces(self.documents, self.seed).filter("size > 0").withColumn("block", F.explode(F.sequence(first.cast("long"), last.cast("long"))))
+        at = F.greatest("start", F.col("block") * block)
+        words = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - at
+        return cut.select("row", "number", "block", (at - F.col("block") * block).alias("offset"), (at - F.col("start")).alias("skip"), words.alias("words"))
+
+    def spans(self) -> DataFrame:
+        """shard, place, number, pass, block, offset, row, skip, words: the mix, slot by slot. Blocks are joined by number."""
+        return slots(self.sources, self.block, self.shard, self.seed, self.limit).join(self.pieces(), ["number", "block"])
+
 
+def _mix(docs: DataFrame, row: Column, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (1.0, 2.0, 3.0), block: int | None = None, shard: int = SHARD, seed: int = SEED, limit: int = LIMIT) -> Mix:
+    return Mix(docs, row, id_col, text_col, source_col, weights, block, shard, seed, limit)
 
-def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (1.0, 2.0, 3.0), block: int = BLOCK, shard: int = SHARD, seed: int = SEED, limit: int = LIMIT) -> DataFrame:
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with a column _brindle_row, as a written table, so that rows keep their numbers."""
+    return written(docs.withColumn("_brindle_row", F.monotonically_increasing_id()), "rows")
+
+
+def _words(text: Column) -> Column:
+    """The words of a text, without the empty ones at its ends."""
+    return F.filter(F.split(text, SPACES), lambda w: w != "")
+
+
+def packed(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """The mix's blocks: shard, place, number (of the source), block, pass and text, the words of the slot with a space
+    between, a row per slot. Options as for mixture()."""
+    rows = _numbered(docs)
+    mix = _mix(rows, F.col("_brindle_row"), text_col=text_col, **options)
+    of_row = rows.select(F.col("_brindle_row").alias("row"), _words(F.col(text_col)).alias("all"))
+    cut = mix.pieces().join(of_row, "row").select("number", "block", "offset", F.array_join(F.slice("all", (F.col("skip") + 1).cast("int"), F.col("words").cast("int")), " ").alias("part"))
+    blocks = cut.groupBy("number", "block").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("offset", "part"))), lambda p: p["part"]), " ").alias("text"))
+    return slots(mix.sources, mix.block, mix.shard, mix.seed, mix.limit).join(blocks, ["number", "block"]).select("shard", "place", "number", "block", "pass", "text")
+
+
+def mixture(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """One row per row of docs: id_col, size, source_size, target, taken (words the mix takes, repeats counted).
 
-    Null and empty texts have no words: they are in no block and taken is 0. Null is a source of its own, the last.
-    Rows that repeat an id are separate documents. A source smaller than a block is one block. Other columns of
-    docs are not read. An empty table gives an empty result. A block's words are joined by its number; the table of
-    sources is broadcast only as far as Spark finds it small, and hot sources are split by adaptive joins.
+    Options: text_col, source_col, weights (of sources by code point, in turn), block (words a block; by the number
+    of words if not given), shard (slots a shard), seed, limit (of passes over a source). Null and empty texts have
+    no words: they are in no block and taken is 0. Null is a source of its own, the last. Rows that repeat an id are
+    separate documents. A source smaller than a block is one block. Other columns of docs are not read. An empty
+    table gives an empty result. The table of sources is broadcast only as far as Spark finds it small.
     """
-    sized = written(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), words_in(F.col(text_col)).alias("size")), "sizes")
-    shares = written(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, limit), "targets")
-    of_source = shares.select(F.col("source").alias("_source"), "number")
-    numbered = written(sized.join(of_source, F.col("source").eqNullSafe(F.col("_source"))).select("row", "id", "number", "size"), "documents")
-    first, last = F.floor(F.col("start") / F.lit(block)), F.floor((F.col("start") + F.col("size") - 1) / F.lit(block))
-    cut = pieces(numbered, seed).filter("size > 0").withColumn("block", F.explode(F.sequence(first.cast("long"), last.cast("long"))))
-    words = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.greatest("start", F.col("block") * block)
-    times = slots(shares, block, shard, seed, limit).groupBy("number", "block").agg(F.count(F.lit(1)).alias("times"))
-    taken = cut.select("row", "number", "block", words.alias("words")).join(times, ["number", "block"]).groupBy("row").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
-    sums = shares.select("number", "source_size", "target")
-    return numbered.join(taken, "row", "left").join(sums, "number").select(F.col("id").alias(id_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
-
-
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, **options) -> DataFrame:
-    """docs, each row as many times as the mix takes its words, a part of a time by chance (a hash of the id).
-
-    Rows that repeat an id go by the mean of what is taken of them.
+    mix = _mix(docs, F.monotonically_increasing_id(), id_col=id_col, **options)
+    taken = mix.spans().groupBy("row").agg(F.sum("words").alias("taken"))
+    sums = mix.sources.select("number", "source_size", "target")
+    return mix.documents.join(taken, "row", "left").join(sums, "number").select(F.col("id").alias(id_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs with what the mix takes of them: a row for each pass that takes words of a document, with the words it takes.
+
+    Of a document taken whole the text stays as it is. Of one taken in part the spans taken stand in their order, with a space
+    between words that follow each other in the document and a line feed between others. All other columns stay. Options as for
+    mixture().
     """
-    mix = mixture(docs, id_col, text_col, source_col, seed=seed, **options).filter("taken > 0")
-    share = mix.groupBy(F.col(id_col).alias("_brindle_id")).agg((F.sum("taken") / F.sum("size")).alias("_brindle_share"))
-    copies = F.floor(F.col("_brindle_share") + _unit(F.lit(seed), F.lit("copies"), F.col("_brindle_id"))).cast("int")
-    joined = docs.join(share.select("_brindle_id", copies.alias("_brindle_copies")).filter("_brindle_copies > 0"), docs[id_col].eqNullSafe(F.col("_brindle_id")))
-    return joined.withColumn("_brindle_copy", F.explode(F.sequence(F.lit(1), F.col("_brindle_copies")))).select(*(docs[c] for c in docs.columns))
+    rows = _numbered(docs)
+    mix = _mix(rows, F.col("_brindle_row"), id_col=id_col, text_col=text_col, **options)
+    span = F.struct(F.col("skip").cast("int").alias("skip"), F.col("words").cast("int").alias("words"))
+    taken = mix.spans().groupBy("row", "pass").agg(F.sum("words").alias("words"), F.array_sort(F.collect_list(span)).alias("spans"))
+    wanted = taken.join(mix.documents.select("row", "size"), "row").select(F.col("row").alias("_brindle_row"), F.when(F.col("words") < F.col("size"), F.col("spans")).alias("_brindle_spans"))
+    joined = rows.join(wanted, "_brindle_row")
+
+    def cut(words: Column) -> Column:
+        def one(s: Column, i: Column) -> Column:
+            last = F.get("_brindle_spans", i - 1)
+            between = F.when(i == 0, "").when(last["skip"] + last["words"] == s["skip"], " ").otherwise("\n")
+            return F.concat(between, F.array_join(F.slice(words, s["skip"] + 1, s["words"]), " "))
+
+        return F.array_join(F.transform("_brindle_spans", one), "")
+
+    part = F.transform(F.array(_words(F.col(text_col))), cut)[0]
+    text = F.when(F.col("_brindle_spans").isNull(), F.col(text_col)).otherwise(part).alias(text_col)
+    return joined.select(*(text if c == text_col else F.col(f"`{c}`") for c in docs.columns))

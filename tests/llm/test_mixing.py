@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from brindle.llm.mixing import mixed_documents, mixture, permuted, targets
+from brindle.llm.mixing import _mix, block_for, mixed_documents, mixture, packed, permuted, targets
 
 from .conftest import by_row
 
@@ -65,13 +65,67 @@ def test_permutation(spark, n):
     assert sorted(r["x"] for r in df.collect()) == list(range(n))
 
 
+def words_of(text):
+    return re.findall(r"[^\x20\x09-\x0d]+", text or "")
+
+
+def test_taken_by_brute_force_from_the_mix_itself(spark, corpus, docs):
+    """Slots are shards full of blocks, blocks are fixed runs of a source's words, no pass takes a block twice, and taken
+    counts the words of the slots."""
+    mix = _mix(docs.withColumn("row", F.monotonically_increasing_id()), F.col("row"))
+    texts = {r["row"]: words_of(r["text"]) for r in docs.withColumn("row", F.monotonically_increasing_id()).collect()}
+    spans, streams = mix.spans().collect(), defaultdict(dict)
+    for r in mix.pieces().collect():
+        streams[r["number"]][r["block"] * mix.block + r["offset"]] = texts[r["row"]][r["skip"] : r["skip"] + r["words"]]
+    numbers = {r["row"]: r["number"] for r in mix.documents.collect()}
+    for number, pieces in streams.items():  # pieces cover a source's words, each word once
+        at = 0
+        for start in sorted(pieces):
+            assert start == at
+            at += len(pieces[start])
+        assert Counter(w for p in pieces.values() for w in p) == Counter(w for r, t in texts.items() if numbers[r] == number for w in t)
+    slots = defaultdict(list)
+    for r in spans:
+        slots[r["shard"], r["place"], r["number"], r["pass"], r["block"]].append(r)
+    assert len({(s, p) for s, p, *_ in slots}) == len(slots) == len({key[2:] for key in slots}) and max(key[3] for key in slots) <= 2
+    shards = Counter(key[0] for key in slots)
+    assert set(shards) == set(range(len(shards))) and max(shards.values()) <= 1024
+    taken = Counter()
+    for (_, _, number, _, block), parts in slots.items():
+        own = [w for r in sorted(parts, key=lambda r: r["offset"]) for w in texts[r["row"]][r["skip"] : r["skip"] + r["words"]]]
+        run = [w for start in sorted(streams[number]) for w in streams[number][start]][block * mix.block : (block + 1) * mix.block]
+        assert own == run
+        for r in parts:
+            taken[r["row"]] += r["words"]
+    got = Counter((r["doc_id"], r["taken"]) for r in mixture(docs).collect())
+    assert got == Counter((r["doc_id"], taken[r["row"]]) for r in docs.withColumn("row", F.monotonically_increasing_id()).collect())
+    blocks = packed(docs).collect()
+    assert sum(len(r["text"].split(" ")) for r in blocks) == sum(taken.values()) and len(blocks) == len(slots)
+    assert Counter(w for r in blocks for w in r["text"].split(" ")) == Counter(w for r in spans for w in texts[r["row"]][r["skip"] : r["skip"] + r["words"]])
+
+
+def test_block_grows_with_the_data_by_a_rule():
+    assert [block_for(n) for n in (0, 10**5, 10**8, 10**9, 6 * 10**9, 10**13)] == [32, 32, 64, 512, 4096, 4096]
+
+
 @pytest.mark.parametrize("frame", ["docs", "clashing"])
 def test_mixed_documents(frame, corpus, request):
     docs = request.getfixturevalue(frame)
     out = mixed_documents(docs)
     assert out.columns == docs.columns
-    copies = Counter(r["doc_id"] for r in out.collect())
-    assert max(copies[i] for i in copies if Counter(r[0] for r in corpus)[i] == 1) <= 3
+    taken, rows = Counter(), out.collect()
+    for r in rows:
+        taken[r["doc_id"]] += len(words_of(r["text"]))
+    expected = Counter()
+    for r in mixture(docs).collect():
+        expected[r["doc_id"]] += r["taken"]
+    assert +taken == +expected
+    by_id = {r[0]: r for r in corpus}
+    once = [r for r in rows if Counter(c[0] for c in corpus)[r["doc_id"]] == 1]
+    assert max(Counter(r["doc_id"] for r in once).values()) <= 3 and any(r["text"] == by_id[r["doc_id"]][1] for r in once)
+    for r in once:
+        rest = iter(words_of(by_id[r["doc_id"]][1]))
+        assert all(w in rest for w in words_of(r["text"]))  # in order
 
 
 def test_empty(empty):
