@@ -74,52 +74,60 @@ def merged(first: DataFrame, second: DataFrame) -> DataFrame:
     return moved.unionByName(second.join(first.select("node"), "node", "left_anti"))
 
 
-def link(lists: DataFrame, columns: list[str], near: Callable[[DataFrame], DataFrame], split: Callable[[DataFrame, DataFrame], DataFrame], depth: int, close: Column | None = None, met: Column | int = 1) -> DataFrame:
+def link(lists: DataFrame, columns: list[str], near: Callable[[DataFrame], DataFrame], split: Callable[[DataFrame, DataFrame], DataFrame], depth: int, close: Column | None = None, met: Column | int = 1, hot: int = HOT, first_by: tuple[str, ...] = (), whole: bool = True) -> DataFrame:
     """node, root of all nodes joined, directly or by others, by links that near() confirms.
 
     lists: a written table, which goes, of posting lists: key, columns (node among them) and what split() needs, a row
     per node and list. near(pairs) gets pairs of nodes (a_ and b_ before the columns) for which close holds and that
-    met in as many lists as met says, and returns those that are links.
-
-    A list of m nodes isn't expanded into its pairs. First each of its nodes meets the smallest alone. Then only
-    nodes that are in different components so far meet, which finds every link that could still join two
-    components; a large group of near copies has become one component by then. Lists that even so hold more than
-    HOT such pairs a member are split, depth times at most: split(rows, lists) posts their rows under keys that
-    hold more of what two links must share, so that no link is lost. Pairs in a list split t times count t + 1
-    times, for that is how many lists they share at least.
+    met in as many lists as met says (a list may count more, in a column weight), and returns those that are links.
+
+    A list of m nodes isn't expanded into its pairs. First each of its nodes meets the first alone, in order of
+    first_by and node. Then only nodes that are in different components so far meet, which finds every link that
+    could still join two components; a large group of near copies has become one component by then. Lists that even so
+    hold more than `hot` such pairs a member are split, depth times at most: split(rows, lists) posts their rows under keys that
+    hold more of what two links share. Where lists are still hot after that all pairs of theirs meet or, if not
+    whole, each of their nodes and the first.
     """
     close = F.lit(True) if close is None else close
     a, b = ([F.col(c).alias(f"{s}_{c}") for c in columns] for s in "ab")
+    order = (*first_by, "node")
 
     def enough(pairs: DataFrame) -> DataFrame:
         rest = [c for c in pairs.columns if c not in ("a_node", "b_node", "weight")]
         tallied = pairs.groupBy("a_node", "b_node").agg(F.sum("weight").alias("met"), *(F.first(c).alias(c) for c in rest))
         return tallied.filter(F.col("met") >= met).drop("met")
 
-    hubs = lists.groupBy("key").agg(F.min(F.struct("node", *(c for c in columns if c != "node"))).alias("hub"))
-    hub = [F.col(f"hub.{c}").alias(f"b_{c}") for c in columns]
-    stars = lists.select("key", *a).join(hubs.select("key", *hub), "key").filter((F.col("a_node") != F.col("b_node")) & close)
-    first = components(near(enough(stars.drop("key").withColumn("weight", F.lit(1)))).select(F.col("a_node").alias("a"), F.col("b_node").alias("b")))
+    def stars(rows: DataFrame, extra: list[str]) -> DataFrame:
+        """Each node of a list beside its first; extra: columns beside columns that both sides have."""
+        own = [*columns, *extra]
+        rank = F.struct(*order, *(c for c in own if c not in order))
+        hubs = rows.groupBy("key").agg(F.min(rank).alias("hub")).select("key", *(F.col(f"hub.{c}").alias(f"b_{c}") for c in own))
+        weight = F.col("weight") if "weight" in rows.columns else F.lit(1).alias("weight")
+        return rows.select("key", *(F.col(c).alias(f"a_{c}") for c in own), weight).join(hubs, "key").filter((F.col("a_node") != F.col("b_node")) & close).drop("key")
+
+    first = components(near(enough(stars(lists, []))).select(F.col("a_node").alias("a"), F.col("b_node").alias("b")))
     level, found, tables = lists, [], []
     for times in range(depth + 1):
         labelled = level.join(first, "node", "left").withColumn("root", F.coalesce("root", "node"))
         parts = labelled.groupBy("key", "root").agg(F.count(F.lit(1)).cast("double").alias("n")).groupBy("key").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.col("n")).alias("same"))
         mixed = parts.select("key", ((F.col("m") * F.col("m") - F.col("same")) / 2).alias("cross"), "m").filter("cross > 0")
-        mixed = mixed.select("key", (F.col("cross") > F.col("m") * HOT).alias("hot"))
+        mixed = mixed.select("key", (F.col("cross") > F.col("m") * hot).alias("hot"))
         rest = written(labelled.join(mixed, "key"), "mixed", release=True)
         tables.append(rest)
-        paired = rest.filter("NOT hot") if times < depth else rest
-        left = paired.select("key", F.col("root").alias("a_root"), *a)
+        paired = rest if times == depth and whole else rest.filter("NOT hot")
+        weight = F.col("weight") if "weight" in rest.columns else F.lit(1).alias("weight")
+        left = paired.select("key", F.col("root").alias("a_root"), *a, weight)
         right = paired.select("key", F.col("root").alias("b_root"), *b)
-        across = left.join(right, "key").filter((F.col("a_root") < F.col("b_root")) & close).drop("key")
         # of two nodes the one in the smaller component is a, in every list they share
-        found.append(across.withColumn("weight", F.lit(times + 1)))
-        if times == depth:
-            break
-        hot = rest.filter("hot").drop("hot", "root")
-        if hot.isEmpty():
+        across = left.join(right, "key").filter((F.col("a_root") < F.col("b_root")) & close).drop("key")
+        found.append(across)
+        if times and not whole:
+            met_first = stars(rest.filter("hot"), ["root"]).filter("a_root <> b_root")
+            turned = [F.when(F.col("a_root") > F.col("b_root"), F.col(f"{t}_{c}")).otherwise(F.col(f"{s}_{c}")).alias(f"{s}_{c}") for s, t in ("ab", "ba") for c in ("root", *columns)]
+            found.append(met_first.select(*turned, "weight").select(*across.columns))
+        if times == depth or (again := rest.filter("hot").drop("hot", "root")).isEmpty():
             break
-        level = written(split(hot, lists), f"split{times}", release=True)
+        level = written(split(again, lists), f"split{times}", release=True)
         tables.append(level)
     second = components(near(enough(reduce(DataFrame.unionByName, found))).select(F.col("a_root").alias("a"), F.col("b_root").alias("b")))
     out = written(merged(first, second), "linked", release=True)
