@@ -74,12 +74,13 @@ def merged(first: DataFrame, second: DataFrame) -> DataFrame:
     return moved.unionByName(second.join(first.select("node"), "node", "left_anti"))
 
 
-def link(lists: DataFrame, columns: list[str], near: Callable[[DataFrame], DataFrame], split: Callable[[DataFrame, DataFrame], DataFrame], depth: int, close: Column | None = None, met: Column | int = 1, hot: int = HOT, first_by: tuple[str, ...] = (), whole: bool = True) -> DataFrame:
+def link(lists: DataFrame, columns: list[str], near: Callable[[DataFrame], DataFrame], split: Callable[[DataFrame, DataFrame], DataFrame], depth: int, close: Column | None = None, met: Column | int = 1, hot: int = HOT, first_by: tuple[str, ...] = (), whole: bool = True, weight: int = 1) -> DataFrame:
     """node, root of all nodes joined, directly or by others, by links that near() confirms.
 
     lists: a written table, which goes, of posting lists: key, columns (node among them) and what split() needs, a row
     per node and list. near(pairs) gets pairs of nodes (a_ and b_ before the columns) for which close holds and that
-    met in as many lists as met says (a list may count more, in a column weight), and returns those that are links.
+    met in as many lists as met says, where a list counts weight, or what split() puts in a column weight, and returns those
+    that are links.
 
     A list of m nodes isn't expanded into its pairs. First each of its nodes meets the first alone, in order of
     first_by and node. Then only nodes that are in different components so far meet, which finds every link that
@@ -102,8 +103,8 @@ def link(lists: DataFrame, columns: list[str], near: Callable[[DataFrame], DataF
         own = [*columns, *extra]
         rank = F.struct(*order, *(c for c in own if c not in order))
         hubs = rows.groupBy("key").agg(F.min(rank).alias("hub")).select("key", *(F.col(f"hub.{c}").alias(f"b_{c}") for c in own))
-        weight = F.col("weight") if "weight" in rows.columns else F.lit(1).alias("weight")
-        return rows.select("key", *(F.col(c).alias(f"a_{c}") for c in own), weight).join(hubs, "key").filter((F.col("a_node") != F.col("b_node")) & close).drop("key")
+        counts = F.col("weight") if "weight" in rows.columns else F.lit(weight).alias("weight")
+        return rows.select("key", *(F.col(c).alias(f"a_{c}") for c in own), counts).join(hubs, "key").filter((F.col("a_node") != F.col("b_node")) & close).drop("key")
 
     first = components(near(enough(stars(lists, []))).select(F.col("a_node").alias("a"), F.col("b_node").alias("b")))
     level, found, tables = lists, [], []
@@ -115,8 +116,8 @@ def link(lists: DataFrame, columns: list[str], near: Callable[[DataFrame], DataF
         rest = written(labelled.join(mixed, "key"), "mixed", release=True)
         tables.append(rest)
         paired = rest if times == depth and whole else rest.filter("NOT hot")
-        weight = F.col("weight") if "weight" in rest.columns else F.lit(1).alias("weight")
-        left = paired.select("key", F.col("root").alias("a_root"), *a, weight)
+        counts = F.col("weight") if "weight" in rest.columns else F.lit(weight).alias("weight")
+        left = paired.select("key", F.col("root").alias("a_root"), *a, counts)
         right = paired.select("key", F.col("root").alias("b_root"), *b)
         # of two nodes the one in the smaller component is a, in every list they share
         across = left.join(right, "key").filter((F.col("a_root") < F.col("b_root")) & close).drop("key")
