@@ -214,7 +214,11 @@ class Engine:
         return self.matching(module, query).count()
 
     def list_all(self, module: str, query: Mapping | None = None, page_size: int = 100) -> Iterator[dict]:
-        """Every row, page by page, by offset."""
+        """Every row, page by page. In the default order, that of the id, pages seek by cursor; in another one, whose
+        place for nulls cursors don't share, they go by offset and count anew."""
+        if not (query or {}).get("sort"):
+            yield from self.list_all_keyset(module, query, page_size)
+            return
         page = 1
         while True:
             answer = json.loads(self.list(module, {**(query or {}), "pagination": {"page": page, "pageSize": page_size}}))
